@@ -46,3 +46,8 @@ def parse_time(text: Column) -> Column:
     from_number = F.timestamp_micros(F.round(seconds * 1000000).cast("bigint"))
     iso = F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text))
     return F.coalesce(from_number, iso)
+
+
+def floor_time(moment: Column, seconds: int) -> Column:
+    """Start of the UTC interval of ``seconds`` length that contains ``moment``."""
+    return F.timestamp_seconds(F.floor(F.unix_seconds(moment) / seconds) * seconds)
