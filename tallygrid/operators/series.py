@@ -8,7 +8,7 @@ import math
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallygrid.fixed_values import AGGREGATE_RETENTION_DAYS, EVENT_RETENTION_DAYS, PAGE_LIMITS
 from tallygrid.functions.times import Instant, at, literal_time
@@ -173,13 +173,12 @@ def _locate(rows: DataFrame, offset: int, size: int) -> tuple[DataFrame, int]:
     minute = F.floor(F.unix_seconds("event_time") / 60)
     counts = rows.groupBy(minute.alias("minute")).agg(F.count(F.lit(1)).alias("n"))
     # one row per minute of the asked range: bounded by the calendar, not by the events
-    counts.createOrReplaceTempView("tallygrid_minute_counts")
-    span = rows.sparkSession.sql(
-        f"""
-        SELECT min(minute) AS low, max(minute) AS high, min(newer) AS skipped
-        FROM (SELECT minute, n, sum(n) OVER (ORDER BY minute DESC) - n AS newer FROM tallygrid_minute_counts)
-        WHERE newer + n > {offset} AND newer < {offset + size}
-        """
+    newer = F.sum("n").over(Window.orderBy(F.desc("minute"))) - F.col("n")
+    located = counts.withColumn("newer", newer).filter(
+        (F.col("newer") + F.col("n") > offset) & (F.col("newer") < offset + size)
+    )
+    span = located.agg(
+        F.min("minute").alias("low"), F.max("minute").alias("high"), F.min("newer").alias("skipped")
     ).first()
     if span["low"] is None:
         return rows.limit(0), 0
