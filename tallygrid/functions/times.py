@@ -51,3 +51,11 @@ def parse_time(text: Column) -> Column:
 def floor_time(moment: Column, seconds: int) -> Column:
     """Start of the UTC interval of ``seconds`` length that contains ``moment``."""
     return F.timestamp_seconds(F.floor(F.unix_seconds(moment) / seconds) * seconds)
+
+
+def iso_text(moment: Column) -> Column:
+    """ISO 8601 text in UTC, with microseconds only when there are any."""
+    whole = F.unix_micros(moment) % 1000000 == 0
+    return F.when(whole, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(
+        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    )
