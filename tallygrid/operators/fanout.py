@@ -109,5 +109,5 @@ def live_tail(df: DataFrame, n: int = LIVE_TAIL_SIZE) -> DataFrame:
     Each map task forwards at most ``n`` rows per tenant (see ``top_per_group``).
     """
     newest = top_per_group(df, ["client_id"], [F.desc("received_at"), F.desc("id")], n, "position")
-    totals = df.groupBy("client_id").agg(F.count(F.lit(1)).alias("total"))
+    totals = df.groupBy("client_id").agg(F.count("*").alias("total"))
     return newest.join(totals, "client_id")

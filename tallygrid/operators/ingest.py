@@ -182,5 +182,5 @@ def ingest_report(checked: DataFrame, *keys: str) -> DataFrame:
     """Events per status and reason: (keys), status, reason, events."""
     status = F.when(F.size("reasons") == 0, "processed").otherwise("failed")
     return checked.groupBy(*keys, status.alias("status"), F.concat_ws("; ", "reasons").alias("reason")).agg(
-        F.count(F.lit(1)).alias("events")
+        F.count("*").alias("events")
     )

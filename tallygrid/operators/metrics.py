@@ -29,8 +29,6 @@ from tallygrid.operators.filters import (
     with_idle_tenants,
 )
 
-ONE = F.lit(1)
-
 
 def _rate(count: Column, start: Instant, end: Instant) -> Column:
     minutes = (at(end) - at(start)).total_seconds() / 60
@@ -43,7 +41,7 @@ def _percent(part: Column, whole: Column) -> Column:
 
 def event_rate(df: DataFrame, start: Instant, end: Instant, registry: DataFrame | None = None) -> DataFrame:
     """Events and events per minute per tenant: client_id, count, rate, bounds."""
-    counted = in_window(df, start, end).groupBy("client_id").agg(F.count(ONE).alias("count"))
+    counted = in_window(df, start, end).groupBy("client_id").agg(F.count("*").alias("count"))
     counted = with_idle_tenants(counted, registry, {"count": F.lit(0).cast("bigint")})
     return counted.select(
         "client_id",
@@ -68,7 +66,7 @@ def active_users(
 
 
 def _name_counts(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys, "event_name").agg(F.count(ONE).alias("count"))
+    return df.groupBy(*keys, "event_name").agg(F.count("*").alias("count"))
 
 
 def rank_names(counts: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -105,7 +103,7 @@ def overview(
     window = in_window(df, start, end)
     names = _name_counts(window, "client_id")
     totals = names.groupBy("client_id").agg(
-        F.sum("count").alias("total_events"), F.count(ONE).alias("unique_event_types")
+        F.sum("count").alias("total_events"), F.count("*").alias("unique_event_types")
     )
     users = window.groupBy("client_id").agg(F.count_distinct("user_id").alias("active_users"))
     five = (
@@ -171,7 +169,7 @@ def breakdowns(
         "client_id", "user_id", f"stack({len(props)}, {pairs}) AS (property, label)"
     ).filter(F.col("label").isNotNull())
     counted = labelled.groupBy("client_id", "property", "label").agg(
-        F.count(ONE).alias("count"), F.count_distinct("user_id").alias("users")
+        F.count("*").alias("count"), F.count_distinct("user_id").alias("users")
     )
     keys = ["client_id", "property"]
     ranked = top_per_group(counted, keys, [F.desc("count"), F.asc("label")], n)
@@ -246,7 +244,7 @@ def funnel(
 def dataset_summary(df: DataFrame, as_of: Instant) -> DataFrame:
     """Whole-table figures as rows (section, name, value), names by falling count."""
     recent = F.col("event_time") > literal_time(as_of) - F.expr("INTERVAL 1 HOUR")
-    names = df.groupBy("event_name").agg(F.count(ONE).alias("count"), F.count_if(recent).alias("recent"))
+    names = df.groupBy("event_name").agg(F.count("*").alias("count"), F.count_if(recent).alias("recent"))
     scalars = names.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.coalesce(F.sum("recent"), F.lit(0)).alias("recent")
     ).selectExpr("stack(2, 'events_total', total, 'last_hour', recent) AS (section, value)")
@@ -267,7 +265,7 @@ def platform_counts(events: DataFrame, registry: DataFrame, rules: DataFrame) ->
     ]
     counted = None
     for name, frame in parts:
-        one = frame.agg(F.count(ONE).alias("n")).select(F.lit(name).alias("figure"), "n")
+        one = frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("figure"), "n")
         counted = one if counted is None else counted.unionByName(one)
     return counted.agg(*[F.max(F.when(F.col("figure") == name, F.col("n"))).alias(name) for name, _ in parts])
 

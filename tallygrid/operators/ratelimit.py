@@ -99,7 +99,7 @@ def admit(
     second, so requests of one second count once and a limit above the window never denies.
     """
     block = F.floor(F.col("seq") / SEQ_BLOCK)
-    blocks = requests.groupBy("client_id", "epoch", block.alias("block")).agg(F.count(F.lit(1)).alias("requests"))
+    blocks = requests.groupBy("client_id", "epoch", block.alias("block")).agg(F.count("*").alias("requests"))
     seconds = blocks.groupBy("client_id", "epoch").agg(F.sum("requests").alias("requests"))
     decided = decide_seconds(seconds, limits, window, mode, carry)
     before = Window.partitionBy("client_id", "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,7 +151,7 @@ def attempt_rate(
     Counts are sliced by key and hour, each slice also receiving the last seconds of the one
     before, so a busy key is spread over many tasks. ``per_request`` joins the figure back.
     """
-    seconds = requests.groupBy("client_id", "epoch").agg(F.count(F.lit(1)).alias("attempts"))
+    seconds = requests.groupBy("client_id", "epoch").agg(F.count("*").alias("attempts"))
     length = max(SLICE_SECONDS, window)
     own = F.floor(F.col("epoch") / length)
     late = F.pmod(F.col("epoch"), F.lit(length)) > length - window

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.functions.times import Instant, at, floor_time, literal_time
 from tallygrid.operators.filters import active_keys, in_window
-from tallygrid.operators.metrics import ONE, rank_names
+from tallygrid.operators.metrics import rank_names
 
 MINUTE, HOUR = 60, 3600
 
@@ -60,7 +60,7 @@ def rollup_minute(df: DataFrame, registry: DataFrame, tick: Instant, intervals:
     start, end = _intervals(tick, MINUTE, intervals)
     keys = ["client_id", "interval_start"]
     counted = _with_interval(df, start, end, MINUTE).groupBy(*keys).agg(
-        F.count(ONE).alias("count"), F.count_distinct("user_id").alias("users")
+        F.count("*").alias("count"), F.count_distinct("user_id").alias("users")
     )
     grid = _tenant_grid(registry, start, end, MINUTE).join(counted, keys, "left").fillna(0, ["count", "users"])
     rate = F.round(F.col("count") / F.lit(1.0), 2)
@@ -80,7 +80,7 @@ def rollup_hour(df: DataFrame, registry: DataFrame, tick: Instant, intervals: in
     start, end = _intervals(tick, HOUR, intervals)
     keys = ["client_id", "interval_start"]
     rows = _with_interval(df, start, end, HOUR)
-    names = rows.groupBy(*keys, "event_name").agg(F.count(ONE).alias("count"))
+    names = rows.groupBy(*keys, "event_name").agg(F.count("*").alias("count"))
     totals = names.groupBy(*keys).agg(F.sum("count").alias("count"))
     users = rows.groupBy(*keys).agg(F.count_distinct("user_id").alias("users"))
     ten = rank_names(names, keys, 10).groupBy(*keys).agg(
@@ -124,7 +124,7 @@ def rollup_backfill(df: DataFrame, as_of: Instant) -> DataFrame:
             recent = recent.filter(F.col("event_date") >= F.lit(since.date()))
         counted = recent.groupBy(
             "client_id", floor_time(F.col("event_time"), seconds).alias("interval_start")
-        ).agg(F.count(ONE).alias("count"), F.count_distinct("user_id").alias("users"))
+        ).agg(F.count("*").alias("count"), F.count_distinct("user_id").alias("users"))
         part = _as_aggregates(
             counted,
             [(count_metric, F.col("count"), nothing), (user_metric, F.col("users"), nothing)],
