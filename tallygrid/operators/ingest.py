@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallygrid.fixed_values import MAX_BATCH_EVENTS, MAX_NAME_LENGTH, MAX_PROPERTIES_LENGTH
 from tallygrid.functions.checks import failed, split_by_reasons
 from tallygrid.functions.times import parse_time
-from tallygrid.schemas import EVENTS
+from tallygrid.schemas import EVENT_COLUMNS
 
 REJECT_BATCH, SKIP_EVENT = "reject_batch", "skip_event"
-EVENT_COLUMNS = [field.name for field in EVENTS.fields]
 
 
 def _member(event: Column, name: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
 
 from tallygrid.schemas import AGGREGATES, ALERT_HISTORY, EVENTS_STORED, QUEUED_EVENT, REGISTRY, RULES
 
@@ -21,10 +21,9 @@ def read_lines(spark: SparkSession, path: str, streaming: bool = False, max_file
 
 def read_events(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
     """Queued JSON events. Unreadable text is kept in ``corrupt`` and does not stop the rest."""
-    schema = T.StructType(QUEUED_EVENT.fields + [T.StructField("corrupt", T.StringType())])
     return (
         _reader(spark, streaming, max_files)
-        .schema(schema)
+        .schema(f"{QUEUED_EVENT}, corrupt STRING")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "corrupt")
         .json(path)
@@ -38,8 +37,7 @@ def read_stored_events(spark: SparkSession, path: str, streaming: bool = False)
 
 def read_aggregates(spark: SparkSession, path: str) -> DataFrame:
     """The series table: parquet partitioned by ``interval_date``."""
-    schema = T.StructType(AGGREGATES.fields + [T.StructField("interval_date", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(f"{AGGREGATES}, interval_date DATE").parquet(path)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
