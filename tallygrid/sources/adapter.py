@@ -68,7 +68,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             pick(F.col("c_nationkey"), "events_per_minute", "active_users_1h", "events_per_hour", "unknown")
             .alias("metric"),
             pick(key, ">", "<", ">=", "<=", "==", "!=").alias("operator"),
-            F.round(F.col("c_acctbal") / 1000, 1).alias("threshold"),
+            (F.floor(F.col("c_acctbal") / 100) / 10).alias("threshold"),
             pick(F.floor(key / 2), "1m", "5m", "1h").alias("window"),
         ).alias("expression"),
         pick(key, "info", "warning", "error", "critical").alias("severity"),
