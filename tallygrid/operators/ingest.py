@@ -10,6 +10,7 @@ from tallygrid.functions.times import parse_time
 from tallygrid.schemas import EVENT_COLUMNS
 
 REJECT_BATCH, SKIP_EVENT = "reject_batch", "skip_event"
+MALFORMED = "malformed JSON"
 
 
 def _member(event: Column, name: str) -> Column:
@@ -60,7 +61,7 @@ def parse_batches(lines: DataFrame) -> DataFrame:
     )
     count = F.size("events")
     reasons = failed(
-        ("malformed JSON", F.col("doc").isNull()),
+        (MALFORMED, F.col("doc").isNull()),
         ("events must be a list", F.col("doc").isNotNull() & F.col("events").isNull()),
         ("batch must have 1 to 1000 events", F.col("events").isNotNull() & ~count.between(1, MAX_BATCH_EVENTS)),
     )
@@ -138,7 +139,9 @@ def check_batches(
 ) -> DataFrame:
     """Every incoming event once, complete if acceptable, with ``reasons`` and ``raw`` if not."""
     rows = mark_clients(explode_batches(parse_batches(lines), policy, time_field), registry)
-    unknown = F.when(F.col("client_id").isNull(), F.array(F.lit("unknown or revoked key")))
+    # an envelope that cannot be read has no key to judge
+    readable = ~F.array_contains("reasons", MALFORMED)
+    unknown = F.when(readable & F.col("client_id").isNull(), F.array(F.lit("unknown or revoked key")))
     rows = rows.withColumn("reasons", F.concat("reasons", F.coalesce(unknown, F.array().cast("array<string>"))))
     received = F.current_timestamp() if received_at is None else received_at
     return rows.withColumns(
@@ -166,7 +169,7 @@ def structural_check(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     corrupt = F.col("corrupt").isNotNull() if "corrupt" in df.columns else F.lit(False)
     readable = ~corrupt
     reasons = failed(
-        ("malformed JSON", corrupt),
+        (MALFORMED, corrupt),
         ("client_id is missing", readable & F.col("client_id").isNull()),
         ("event_name is missing", readable & F.col("event_name").isNull()),
         ("event_time is missing or not a time", readable & bad_time("event_time")),

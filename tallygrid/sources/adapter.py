@@ -93,3 +93,83 @@ def requests(events_frame: DataFrame) -> DataFrame:
     return events_frame.select(
         "client_id", F.unix_seconds("received_at").alias("epoch"), F.col("id").cast("bigint").alias("seq")
     )
+
+
+def envelopes(events_frame: DataFrame, size: int = 10) -> DataFrame:
+    """Incoming batches as JSON lines (``value``) out of the events, ``size`` ids each.
+
+    Some events and envelopes are spoiled by a fixed rule on their number, so that every kind
+    of refusal occurs; keys 3 (revoked) and 5 (unknown) do not belong to an active tenant.
+    """
+    number = F.col("id").cast("bigint")
+    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    name = F.when(number % 17 == 0, F.lit("")).otherwise(F.col("event_name"))
+    user = F.when(number % 19 == 0, F.col("user_id")).otherwise(quote(F.col("user_id")))
+    props = F.when(number % 29 == 0, F.lit("[1, 2]")).otherwise(F.col("properties"))
+    moment = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    moment = F.when(number % 23 == 0, quote(F.lit("yesterday"))).when(number % 31 == 0, F.lit("null")).otherwise(quote(moment))
+    event = F.concat(
+        F.lit('{"event_name": '), quote(name), F.lit(', "user_id": '), user, F.lit(', "properties": '), props,
+        F.lit(', "event_time": '), moment, F.lit("}"),
+    )
+    batch = F.floor(number / size)
+    # ids are unique, so an envelope collects at most ``size`` events
+    packed = events_frame.groupBy(batch.alias("batch")).agg(
+        F.sort_array(F.collect_list(F.struct(number.alias("number"), event.alias("event")))).alias("items")
+    )
+    listed = F.array_join(F.transform("items", lambda item: item["event"]), ", ")
+    head = F.concat(F.lit('{"api_key": "key-'), (F.col("batch") % 6).cast("string"), F.lit('", "events": ['))
+    line = (
+        F.when(F.col("batch") % 37 == 0, head)
+        .when(F.col("batch") % 41 == 0, F.concat(head, F.lit("]}")))
+        .otherwise(F.concat(head, listed, F.lit("]}")))
+    )
+    return packed.select(line.alias("value"))
+
+
+def queued_events(events_frame: DataFrame) -> DataFrame:
+    """Queued events as JSON lines, some broken or incomplete by a fixed rule on their number."""
+    number = F.col("id").cast("bigint")
+    moment = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    whole = F.to_json(
+        F.struct(
+            "id",
+            F.when(number % 17 != 0, F.col("client_id")).alias("client_id"),
+            "user_id",
+            F.when(number % 19 != 0, F.col("event_name")).alias("event_name"),
+            F.parse_json("properties").alias("properties"),
+            F.when(number % 23 != 0, moment).alias("event_time"),
+            F.when(number % 29 == 0, F.lit("soon")).otherwise(moment).alias("received_at"),
+        )
+    )
+    return events_frame.select(
+        F.when(number % 31 == 0, F.substring(whole, 1, 40)).otherwise(whole).alias("value")
+    )
+
+
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One live connection per supplier."""
+    key = F.col("s_suppkey")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.concat(F.lit("conn-"), key.cast("string")).alias("connection_id"),
+        (key % 5).cast("string").alias("client_id"),
+    )
+
+
+def connection_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One subscribe or unsubscribe command per part."""
+    key = F.col("p_partkey")
+    texts = lambda *names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    chosen = (
+        F.when(key % 5 == 0, texts())
+        .when(key % 5 == 1, texts("events"))
+        .when(key % 5 == 2, texts("alerts", "metrics"))
+        .when(key % 5 == 3, texts("events", "alerts"))
+        .otherwise(texts("metrics"))
+    )
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        key.cast("bigint").alias("seq"),
+        F.concat(F.lit("conn-"), (key % 101).cast("string")).alias("connection_id"),
+        F.when(key % 3 == 0, "subscribe").otherwise("unsubscribe").alias("action"),
+        chosen.alias("channels"),
+    )
