@@ -133,14 +133,21 @@ def admit(
 
 
 def carry_after(
-    decided: DataFrame, until: int, carry: DataFrame | None = None, window: int = RATE_WINDOW_SECONDS
+    admitted: DataFrame,
+    until: int,
+    carry: DataFrame | None = None,
+    window: int = RATE_WINDOW_SECONDS,
+    mode: str = PER_REQUEST,
 ) -> DataFrame:
-    """Entries of a run (and of the carry it started from) that still count after ``until``."""
-    entries = decided.filter(F.col("entered") > 0).select("client_id", "epoch", "entered")
-    if carry is not None:
-        entries = entries.unionByName(carry.select("client_id", "epoch", "entered"))
-    still = entries.filter(F.col("epoch") > F.lit(until) - window)
-    return still.groupBy("client_id", "epoch").agg(F.sum("entered").alias("entered"))
+    """Entries left by ``admit`` (and by the carry it started from) that can still count.
+
+    Two windows are kept, so that requests arriving slightly late find theirs.
+    """
+    allowed = admitted.filter("allowed").groupBy("client_id", "epoch").agg(F.count("*").alias("entered"))
+    entries = allowed if carry is None else allowed.unionByName(carry.select("client_id", "epoch", "entered"))
+    entered = F.sum("entered") if mode == PER_REQUEST else F.lit(1).cast("bigint")
+    recent = entries.filter(F.col("epoch") > F.lit(until) - 2 * window)
+    return recent.groupBy("client_id", "epoch").agg(entered.alias("entered"))
 
 
 def attempt_rate(

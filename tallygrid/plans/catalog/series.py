@@ -147,10 +147,12 @@ def prune_events(spark, sf):
     return series.prune_events(adapter.events(spark, sf), AS_OF, days=10)
 
 
-@query("append_events", "SELECT *, CAST(event_time AS DATE) AS event_date FROM ev")
+@query("append_events", "SELECT *, CAST(event_time AS DATE) AS event_date, 'first' AS load_id FROM ev")
 def append_events(spark, sf):
     path = new_run_dir(spark, "events")
-    storage.append_events(adapter.events(spark, sf), path)
+    storage.append_events(adapter.events(spark, sf), path, "first")
+    # the same load again: nothing is doubled
+    storage.append_events(adapter.events(spark, sf), path, "first")
     return readers.read_stored_events(spark, path)
 
 
@@ -168,10 +170,13 @@ def merge_aggregates(spark, sf):
     return readers.read_aggregates(spark, path).select("client_id", "metric_name", "interval_start", "value")
 
 
-@query("prune_event_table", f"SELECT *, CAST(event_time AS DATE) AS event_date FROM ev WHERE event_time >= {T} - INTERVAL 252 HOUR")
+@query("prune_event_table", f"""SELECT *, CAST(event_time AS DATE) AS event_date,
+       CASE WHEN event_name = 'view' THEN 'views' ELSE 'others' END AS load_id FROM ev WHERE event_time >= {T} - INTERVAL 252 HOUR""")
 def prune_event_table(spark, sf):
     path = new_run_dir(spark, "events")
-    storage.append_events(adapter.events(spark, sf), path)
+    events = adapter.events(spark, sf)
+    storage.append_events(events.filter("event_name = 'view'"), path, "views")
+    storage.append_events(events.filter("event_name <> 'view'"), path, "others")
     # noon, so that the day of the cut-off is rewritten in part
     storage.prune_event_table(spark, path, "2024-01-30 12:00:00", days=10)
     return readers.read_stored_events(spark, path)

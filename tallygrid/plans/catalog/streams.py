@@ -1 +1,150 @@
-"""Registered later."""
+"""Streaming jobs, each fed in three runs that share one checkpoint, and read back as tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tallygrid.operators import ingest, ratelimit
+from tallygrid.operators.filters import in_window
+from tallygrid.plans.catalog.common import AS_OF, query
+from tallygrid.plans.catalog.live import ACCEPTED, EACH, HOUR, INCOMING, SUBSCRIBED, subscription_state
+from tallygrid.session import new_run_dir
+from tallygrid.sources import adapter, readers
+from tallygrid.streaming import jobs
+
+T = f"TIMESTAMP '{AS_OF}'"
+CUTS = ("2024-01-01", "2024-01-11", "2024-01-21 07:30:00", "2024-02-01")
+EVENT_DDL = (
+    "id STRING, client_id STRING, user_id STRING, event_name STRING, properties STRING, "
+    "event_time TIMESTAMP, received_at TIMESTAMP"
+)
+
+
+def feed(spark: SparkSession, sf: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Three arrivals of events in time order; after each the job is resumed and drained."""
+    path = new_run_dir(spark, "arrivals")
+    events = adapter.events(spark, sf)
+    for start, end in zip(CUTS, CUTS[1:]):
+        in_window(events, start, end).write.mode("append").parquet(path)
+        run(spark.readStream.schema(EVENT_DDL).parquet(path)).awaitTermination()
+
+
+def _dirs(spark: SparkSession, *names: str) -> list[str]:
+    return [new_run_dir(spark, name) for name in names]
+
+
+CLOSED = "(SELECT max(event_time) FROM ev) - INTERVAL 10 MINUTE"
+
+
+def series_sql(unit: str, metric: str, value: str, meta: str) -> str:
+    return f"""
+, placed AS (SELECT *, date_trunc('{unit}', event_time) AS interval_start FROM ev)
+SELECT client_id, '{metric}' AS metric_name, interval_start, interval_start + INTERVAL 1 {unit} AS interval_end,
+       {value} AS value, {meta} AS meta_data
+FROM placed WHERE interval_start + INTERVAL 1 {unit} <= {CLOSED} GROUP BY client_id, interval_start"""
+
+
+def _rolled(spark, sf, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    table, checkpoint = _dirs(spark, "aggregates", "checkpoint")
+    feed(spark, sf, lambda events: jobs.stream_upsert(shape(events), table, checkpoint))
+    return readers.read_aggregates(spark, table).drop("created_at", "updated_at", "interval_date")
+
+
+@query("stream_rollup", series_sql("hour", "events_per_hour", "round(count(*) / 60.0::DOUBLE, 2) * 60", "'{\"count\":' || count(*) || '}'"))
+def stream_rollup(spark, sf):
+    return _rolled(spark, sf, lambda events: jobs.stream_rollup(events, 60))
+
+
+@query("stream_active_users", series_sql("hour", "active_users_1h", "count(DISTINCT user_id)::DOUBLE", "'{}'"))
+def stream_active_users(spark, sf):
+    return _rolled(spark, sf, lambda events: jobs.stream_active_users(events, 60))
+
+
+@query("stream_upsert", series_sql("minute", "events_per_minute", "count(*)::DOUBLE", "'{\"count\":' || count(*) || '}'"))
+def stream_upsert(spark, sf):
+    return _rolled(spark, sf, lambda events: jobs.stream_rollup(events, 1))
+
+
+@query("stream_ingest", INCOMING.format(reject="false") + ACCEPTED.split("CASE WHEN n % 31")[0] + """
+CASE WHEN n % 31 <> 0 THEN ts END AS event_time FROM seen WHERE len(reasons) = 0""")
+def stream_ingest(spark, sf):
+    arrivals, table, quarantine, checkpoint = _dirs(spark, "arrivals", "events", "quarantine", "checkpoint")
+    lines = adapter.envelopes(adapter.events(spark, sf)).repartition(6, "value")
+    lines.write.text(arrivals)
+    stream = readers.read_lines(spark, arrivals, streaming=True, max_files=3)
+    jobs.stream_ingest(
+        stream, adapter.registry(spark, sf), table, quarantine, checkpoint, ingest.SKIP_EVENT
+    ).awaitTermination()
+    # a missing event time becomes the time of receipt, which only the clock knows
+    known = F.when(F.col("event_time") != F.col("received_at"), F.col("event_time"))
+    stored = readers.read_stored_events(spark, table)
+    return stored.select("client_id", "user_id", "event_name", "properties", known.alias("event_time"))
+
+
+@query("stream_quarantine", INCOMING.format(reject="true") + """
+SELECT array_to_string(reasons, '; ') AS reason, count(*) AS events FROM seen WHERE len(reasons) > 0 GROUP BY ALL""")
+def stream_quarantine(spark, sf):
+    arrivals, table, quarantine, checkpoint = _dirs(spark, "arrivals", "events", "quarantine", "checkpoint")
+    adapter.envelopes(adapter.events(spark, sf)).repartition(6, "value").write.text(arrivals)
+    stream = readers.read_lines(spark, arrivals, streaming=True, max_files=3)
+    jobs.stream_ingest(stream, adapter.registry(spark, sf), table, quarantine, checkpoint).awaitTermination()
+    refused = spark.read.parquet(quarantine)
+    return refused.groupBy(F.array_join("reasons", "; ").alias("reason")).agg(F.count("*").alias("events"))
+
+
+@query("stream_admit", EACH + "SELECT * FROM admitted", recursive=True)
+def stream_admit(spark, sf):
+    decisions, entries, checkpoint = _dirs(spark, "decisions", "entries", "checkpoint")
+    limits = adapter.registry(spark, sf)
+    feed(spark, sf, lambda events: jobs.stream_admit(
+        adapter.requests(events), limits, decisions, entries, checkpoint, window=HOUR
+    ))
+    return spark.read.parquet(decisions).drop("batch")
+
+
+@query("stream_admit_distinct_second")
+def stream_admit_distinct_second(spark, sf):
+    decisions, entries, checkpoint = _dirs(spark, "decisions", "entries", "checkpoint")
+    limits = adapter.registry(spark, sf)
+    feed(spark, sf, lambda events: jobs.stream_admit(
+        adapter.requests(events), limits, decisions, entries, checkpoint, HOUR, ratelimit.DISTINCT_SECOND
+    ))
+    return spark.read.parquet(decisions).drop("batch")
+
+
+@query("stream_fanout", SUBSCRIBED + """
+SELECT connection_id, client_id, channel, id AS event_id FROM ev JOIN subscribed USING (client_id) WHERE channel = 'events'""")
+def stream_fanout(spark, sf):
+    path, checkpoint = _dirs(spark, "feed", "checkpoint")
+    subscriptions = subscription_state(spark, sf)
+    feed(spark, sf, lambda events: jobs.stream_fanout(events, subscriptions, path, checkpoint))
+    columns = "connection_id STRING, client_id STRING, message STRING, batch INT, channel STRING"
+    return spark.read.schema(columns).parquet(path).select(
+        "connection_id", "client_id", "channel", F.get_json_object("message", "$.data.id").alias("event_id")
+    )
+
+
+@query("stream_tail", """
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY client_id ORDER BY received_at DESC, id DESC) AS INTEGER) AS position,
+                      count(*) OVER (PARTITION BY client_id) AS total FROM ev) WHERE position <= 500""")
+def stream_tail(spark, sf):
+    path, checkpoint = _dirs(spark, "tail", "checkpoint")
+    feed(spark, sf, lambda events: jobs.stream_tail(events, path, checkpoint, 500))
+    return jobs.read_state(spark, path)
+
+
+@query("stream_alerts")
+def stream_alerts(spark, sf):
+    rules, table, history, sent, checkpoint = _dirs(spark, "rules", "aggregates", "history", "sent", "checkpoint")
+    jobs.seed_state(adapter.rules(spark, sf), rules)
+    registry = adapter.registry(spark, sf)
+    feed(spark, sf, lambda events: jobs.stream_alerts(
+        jobs.stream_rollup(events, 60), registry, rules, table, history, sent, checkpoint
+    ))
+    fired = spark.read.parquet(history)
+    return fired.groupBy("alert_id", "client_id", "severity").agg(
+        F.count("*").alias("firings"), F.max("triggered_at").alias("last_triggered")
+    )

@@ -6,7 +6,7 @@ EVENTS = (
 )
 EVENTS_STORED = (
     "id STRING, client_id STRING, user_id STRING, event_name STRING, properties STRING, "
-    "event_time TIMESTAMP, received_at TIMESTAMP, event_date DATE"
+    "event_time TIMESTAMP, received_at TIMESTAMP, event_date DATE, load_id STRING"
 )
 # one queued event as text; times stay text until structural_check
 QUEUED_EVENT = (

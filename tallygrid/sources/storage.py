@@ -6,7 +6,8 @@ first, and that copy is what replaces the partitions.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,10 +39,14 @@ def _balanced(df: DataFrame, partition_column: str, *sort: str) -> DataFrame:
     return df.hint("rebalance", partition_column).sortWithinPartitions(partition_column, *sort)
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    """Append to the event table; sorted so that tenant and time bounds skip row groups."""
-    stored = _balanced(with_event_date(df), "event_date", "client_id", "event_time")
-    stored.write.mode("append").partitionBy("event_date").parquet(path)
+def append_events(df: DataFrame, path: str, load_id: str | None = None) -> None:
+    """Append to the event table; sorted so that tenant and time bounds skip row groups.
+
+    Every load has its own folder below each day. Repeating a load under the same ``load_id``
+    replaces it, so a job that failed half-way can simply run again.
+    """
+    stored = with_event_date(df).withColumn("load_id", F.lit(load_id or uuid.uuid4().hex))
+    overwrite_partitions(_balanced(stored, "event_date", "client_id", "event_time"), path, "event_date", "load_id")
 
 
 def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
@@ -86,11 +91,13 @@ def replace_tenant_events(df: DataFrame, current_path: str, new_path: str, tenan
     """A new version of the event table: the tenants' old rows out, ``df`` in."""
     spark = df.sparkSession
     kept = read_stored_events(spark, current_path).filter(~F.col("client_id").isin(tenants))
-    append_events(kept.drop("event_date").unionByName(df), new_path)
+    append_events(kept.drop("event_date", "load_id").unionByName(df), new_path)
 
 
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of a table's partition folders, from the file system listing alone."""
+    if not path_exists(spark, path):
+        return []
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
     names = [status.getPath().getName() for status in files if status.isDirectory()]
@@ -102,17 +109,24 @@ def drop_partition(spark: SparkSession, path: str, column: str, value: str) -> N
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _prune_table(spark, path, table, time_column, date_column, as_of, days) -> int:
+def _prune_table(spark, path, table, time_column, date_column, load_column, as_of, days) -> int:
     cutoff = at(as_of) - timedelta(days=days)
     boundary = cutoff.date().isoformat()
     values = partition_values(spark, path, date_column)
     if boundary in values:
-        same_day = table.filter(F.col(date_column) == F.lit(date.fromisoformat(boundary)))
+        same_day = table.filter(F.col(date_column) == F.lit(cutoff.date()))
         kept = written_copy(same_day.filter(F.col(time_column) >= literal_time(cutoff)), "boundary")
-        if kept.isEmpty():
+        loads = [load_column] if load_column else []
+        overwrite_partitions(kept, path, date_column, *loads)
+        # folders that lost all their rows are not part of the overwrite
+        if load_column:
+            day = f"{path}/{date_column}={boundary}"
+            left = {row[0] for row in kept.select(load_column).distinct().collect()}
+            for load in partition_values(spark, day, load_column):
+                if load not in left:
+                    drop_partition(spark, day, load_column, load)
+        elif kept.isEmpty():
             drop_partition(spark, path, date_column, boundary)
-        else:
-            overwrite_partitions(kept, path, date_column)
     expired = [value for value in values if value < boundary]
     for value in expired:
         drop_partition(spark, path, date_column, value)
@@ -122,11 +136,11 @@ def _prune_table(spark, path, table, time_column, date_column, as_of, days) -> i
 def prune_event_table(spark: SparkSession, path: str, as_of: Instant, days: int = EVENT_RETENTION_DAYS) -> int:
     """Drop expired days unread and rewrite only the day of the cut-off; returns days dropped."""
     table = read_stored_events(spark, path)
-    return _prune_table(spark, path, table, "event_time", "event_date", as_of, days)
+    return _prune_table(spark, path, table, "event_time", "event_date", "load_id", as_of, days)
 
 
 def prune_aggregate_table(
     spark: SparkSession, path: str, as_of: Instant, days: int = AGGREGATE_RETENTION_DAYS
 ) -> int:
     table = read_aggregates(spark, path)
-    return _prune_table(spark, path, table, "interval_start", "interval_date", as_of, days)
+    return _prune_table(spark, path, table, "interval_start", "interval_date", None, as_of, days)
