@@ -98,9 +98,8 @@ def route_messages(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     The join carries no hint: Spark broadcasts the subscriptions while they are below its size
     threshold, and otherwise shuffles with skew handling for busy tenants.
     """
-    return messages.join(subscriptions, ["client_id", "channel"]).select(
-        "connection_id", "client_id", "channel", "message"
-    )
+    keyed = messages.join(subscriptions, ["client_id", "channel"])
+    return keyed.select("connection_id", *messages.columns)
 
 
 def live_tail(df: DataFrame, n: int = LIVE_TAIL_SIZE) -> DataFrame:

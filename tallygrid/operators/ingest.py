@@ -17,33 +17,54 @@ def _member(event: Column, name: str) -> Column:
     return F.try_variant_get(event, f"$.{name}", "variant")
 
 
-def _has_type(value: Column, *types: str) -> Column:
-    """Whether a JSON value is absent, null or of one of the types."""
-    kind = F.schema_of_variant(value)
-    matches = kind == "VOID"
-    for name in types:
-        matches = matches | kind.startswith(name)
-    return value.isNull() | matches
-
-
 def _text(event: Column, name: str) -> Column:
     return F.try_variant_get(event, f"$.{name}", "string")
 
 
-def event_faults(event: Column, time_field: str = "event_time") -> Column:
-    """Reasons why one JSON event is not acceptable."""
-    name, user = _text(event, "event_name"), _text(event, "user_id")
-    moment = _text(event, time_field)
-    return failed(
-        ("event must be an object", ~F.coalesce(F.schema_of_variant(event).startswith("OBJECT"), F.lit(False))),
-        ("event_name must be text", name.isNull() | ~_has_type(_member(event, "event_name"), "STRING")),
+def _not_text(value: Column) -> Column:
+    """Whether a JSON scalar is there but is neither text nor null."""
+    return value.isNotNull() & ~F.schema_of_variant(value).isin("STRING", "VOID")
+
+
+def _extracted(event: Column, time_field: str) -> Column:
+    """The members of one JSON event, each read once."""
+    properties = _member(event, "properties")
+    return F.struct(
+        event.alias("event"),
+        _member(event, "event_name").alias("name_json"),
+        _text(event, "event_name").alias("event_name"),
+        _member(event, "user_id").alias("user_json"),
+        _text(event, "user_id").alias("user_id"),
+        F.when(~F.is_variant_null(properties), F.to_json(properties)).alias("properties"),
+        _text(event, time_field).alias("time_text"),
+    )
+
+
+def _timed(item: Column) -> Column:
+    return item.withField("event_time", parse_time(item["time_text"]))
+
+
+def _judged(item: Column) -> Column:
+    """The event's columns and the reasons why it is not acceptable."""
+    name, user, properties = item["event_name"], item["user_id"], item["properties"]
+    not_an_object = F.when(name.isNull(), ~F.coalesce(F.schema_of_variant(item["event"]).startswith("OBJECT"), F.lit(False)))
+    faults = failed(
+        ("event must be an object", not_an_object),
+        ("event_name must be text", name.isNull() | _not_text(item["name_json"])),
         ("event_name must have 1 to 255 characters", ~F.length(name).between(1, MAX_NAME_LENGTH)),
-        ("user_id must be text", ~_has_type(_member(event, "user_id"), "STRING")),
+        ("user_id must be text", _not_text(item["user_json"])),
         ("user_id must have at most 255 characters", F.length(user) > MAX_NAME_LENGTH),
-        ("properties must be an object", ~_has_type(_member(event, "properties"), "OBJECT")),
-        ("properties exceed 100000 characters",
-         F.length(F.to_json(_member(event, "properties"))) > MAX_PROPERTIES_LENGTH),
-        ("event_time is not a time", moment.isNotNull() & parse_time(moment).isNull()),
+        ("properties must be an object", ~properties.startswith("{")),
+        ("properties exceed 100000 characters", F.length(properties) > MAX_PROPERTIES_LENGTH),
+        ("event_time is not a time", item["time_text"].isNotNull() & item["event_time"].isNull()),
+    )
+    return F.struct(
+        user.alias("user_id"),
+        name.alias("event_name"),
+        properties.alias("properties"),
+        item["event_time"].alias("event_time"),
+        item["event"].alias("event"),
+        faults.alias("faults"),
     )
 
 
@@ -77,29 +98,35 @@ def explode_batches(batches: DataFrame, policy: str = REJECT_BATCH, time_field:
     if policy not in (REJECT_BATCH, SKIP_EVENT):
         raise ValueError(f"unknown policy {policy!r}")
     whole = F.size("batch_reasons") == 0
-    items = F.transform(
-        "events", lambda e: F.struct(e.alias("event"), event_faults(e, time_field).alias("faults"))
-    )
-    checked = batches.withColumn("items", F.when(whole, items))
-    spoiled = F.exists("items", lambda item: F.size(item["faults"]) > 0)
-    checked = checked.withColumn("spoiled", F.coalesce(spoiled, F.lit(False)) & F.lit(policy == REJECT_BATCH))
-    rows = checked.select("api_key", "batch_reasons", "raw", "spoiled", F.explode_outer("items").alias("item"))
-    event, faults = F.col("item.event"), F.col("item.faults")
+    if policy == SKIP_EVENT:
+        # nothing to know about the other events: explode first, check row by row
+        rows = batches.select(
+            "api_key", "batch_reasons", "raw", F.lit(False).alias("spoiled"),
+            F.explode_outer(F.when(whole, F.col("events"))).alias("event"),
+        )
+        item = F.when(F.col("event").isNotNull(), _extracted(F.col("event"), time_field))
+        rows = rows.withColumn("item", item).withColumn("item", _timed(F.col("item")))
+        rows = rows.withColumn("item", F.when(F.col("item").isNotNull(), _judged(F.col("item"))))
+    else:
+        # an envelope has at most 1000 events here, so it is judged as one row
+        items = F.transform(F.when(whole, F.col("events")), lambda e: _extracted(e, time_field))
+        checked = batches.withColumn("items", items)
+        checked = checked.withColumn("items", F.transform("items", _timed))
+        checked = checked.withColumn("items", F.transform("items", _judged))
+        spoiled = F.coalesce(F.exists("items", lambda i: F.size(i["faults"]) > 0), F.lit(False))
+        rows = checked.select(
+            "api_key", "batch_reasons", "raw", spoiled.alias("spoiled"), F.explode_outer("items").alias("item")
+        )
+    faults = F.col("item.faults")
     reasons = (
         F.when(F.col("item").isNull(), F.col("batch_reasons"))
         .when(F.col("spoiled") & (F.size(faults) == 0), F.array(F.lit("another event of the batch is not valid")))
         .otherwise(faults)
     )
-    return rows.select(
-        "api_key",
-        _text(event, "user_id").alias("user_id"),
-        _text(event, "event_name").alias("event_name"),
-        F.when(~F.is_variant_null(_member(event, "properties")), F.to_json(_member(event, "properties")))
-        .alias("properties"),
-        parse_time(_text(event, time_field)).alias("event_time"),
-        reasons.alias("reasons"),
-        # only refused rows carry their text, and a refused envelope only once
-        F.when(F.size(reasons) > 0, F.coalesce(F.to_json(event), F.col("raw"))).alias("raw"),
+    # only refused rows carry their text, and a refused envelope only once
+    refused = F.when(F.size("reasons") > 0, F.coalesce(F.to_json("item.event"), F.col("raw")))
+    return rows.withColumn("reasons", reasons).select(
+        "api_key", "item.user_id", "item.event_name", "item.properties", "item.event_time", "reasons", refused.alias("raw")
     )
 
 

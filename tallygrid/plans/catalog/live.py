@@ -250,8 +250,9 @@ def subscription_state(spark, sf):
 @query("route", SUBSCRIBED + """
 SELECT connection_id, client_id, channel, id AS event_id FROM ev JOIN subscribed USING (client_id) WHERE channel = 'events'""")
 def route(spark, sf):
-    routed = fanout.route_messages(fanout.fanout_events(adapter.events(spark, sf)), subscription_state(spark, sf))
-    return routed.select("connection_id", "client_id", "channel", F.get_json_object("message", "$.event.id").alias("event_id"))
+    event_id = F.get_json_object("message", "$.event.id").alias("event_id")
+    messages = fanout.fanout_events(adapter.events(spark, sf)).select("client_id", "channel", event_id)
+    return fanout.route_messages(messages, subscription_state(spark, sf))
 
 
 @query("live_tail", """
