@@ -7,6 +7,8 @@ first, and that copy is what replaces the partitions.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +28,23 @@ def written_copy(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``written_copy`` for the length of a block; the copy is removed when the work is done."""
+    spark = df.sparkSession
+    path = new_run_dir(spark, label)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def with_event_date(df: DataFrame) -> DataFrame:
     return df.withColumn("event_date", F.to_date("event_time"))
 
@@ -74,17 +93,17 @@ def merge_aggregates(
 
     Repeating the call with the same updates leaves the same table.
     """
-    updates = written_copy(updates, "updates")
-    # calendar days of one batch of updates: a short list
-    days = [row[0] for row in updates.select(F.to_date("interval_start")).distinct().collect()]
-    if not days:
-        return
-    if path_exists(spark, path):
-        touched = read_aggregates(spark, path).filter(F.col("interval_date").isin(days)).drop("interval_date")
-    else:
-        touched = updates.limit(0)
-    merged = written_copy(upsert_aggregates(touched, updates, replace), "merged")
-    write_aggregates(merged, path)
+    with staged(updates, "updates") as new:
+        # calendar days of one batch of updates: a short list
+        days = [row[0] for row in new.select(F.to_date("interval_start")).distinct().collect()]
+        if not days:
+            return
+        if path_exists(spark, path):
+            touched = read_aggregates(spark, path).filter(F.col("interval_date").isin(days)).drop("interval_date")
+        else:
+            touched = new.limit(0)
+        with staged(upsert_aggregates(touched, new, replace), "merged") as merged:
+            write_aggregates(merged, path)
 
 
 def replace_tenant_events(df: DataFrame, current_path: str, new_path: str, tenants: list[str]) -> None:
@@ -105,8 +124,21 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
 
 
 def drop_partition(spark: SparkSession, path: str, column: str, value: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"{column}={value}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, f"{path}/{column}={value}")
+
+
+def _rewrite_day(spark, path, date_column, load_column, day, rows) -> None:
+    """Replace one day by ``rows`` of it; folders that lose all their rows go."""
+    with staged(rows, "boundary") as kept:
+        overwrite_partitions(kept, path, date_column, *([load_column] if load_column else []))
+        if load_column:
+            folder = f"{path}/{date_column}={day}"
+            left = {row[0] for row in kept.select(load_column).distinct().collect()}
+            for load in partition_values(spark, folder, load_column):
+                if load not in left:
+                    drop_partition(spark, folder, load_column, load)
+        elif kept.isEmpty():
+            drop_partition(spark, path, date_column, day)
 
 
 def _prune_table(spark, path, table, time_column, date_column, load_column, as_of, days) -> int:
@@ -115,18 +147,7 @@ def _prune_table(spark, path, table, time_column, date_column, load_column, as_o
     values = partition_values(spark, path, date_column)
     if boundary in values:
         same_day = table.filter(F.col(date_column) == F.lit(cutoff.date()))
-        kept = written_copy(same_day.filter(F.col(time_column) >= literal_time(cutoff)), "boundary")
-        loads = [load_column] if load_column else []
-        overwrite_partitions(kept, path, date_column, *loads)
-        # folders that lost all their rows are not part of the overwrite
-        if load_column:
-            day = f"{path}/{date_column}={boundary}"
-            left = {row[0] for row in kept.select(load_column).distinct().collect()}
-            for load in partition_values(spark, day, load_column):
-                if load not in left:
-                    drop_partition(spark, day, load_column, load)
-        elif kept.isEmpty():
-            drop_partition(spark, path, date_column, boundary)
+        _rewrite_day(spark, path, date_column, load_column, boundary, same_day.filter(F.col(time_column) >= literal_time(cutoff)))
     expired = [value for value in values if value < boundary]
     for value in expired:
         drop_partition(spark, path, date_column, value)

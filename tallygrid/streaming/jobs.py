@@ -18,9 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallygrid.fixed_values import LIVE_TAIL_SIZE, RATE_WINDOW_SECONDS
 from tallygrid.functions.times import at
-from tallygrid.operators import fanout, ingest, ratelimit
+from tallygrid.operators import alerts, fanout, ingest, ratelimit
 from tallygrid.operators.filters import known_users, top_per_group
-from tallygrid.plans.tick import run_alerts
 from tallygrid.sources import storage
 from tallygrid.sources.readers import read_aggregates
 
@@ -190,17 +189,20 @@ def stream_alerts(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = storage.written_copy(batch, "metric-rows")
-        newest = batch.agg(F.unix_micros(F.max("interval_end")).alias("micros")).first()["micros"]
-        if newest is None:
-            return
-        storage.merge_aggregates(spark, aggregates_path, batch)
-        rules = _state_before(spark, rules_path, batch_id)
+        with storage.staged(batch, "metric-rows") as rows_in:
+            newest = rows_in.agg(F.unix_micros(F.max("interval_end")).alias("micros")).first()["micros"]
+            if newest is None:
+                return
+            storage.merge_aggregates(spark, aggregates_path, rows_in)
         as_of = at("1970-01-01") + timedelta(microseconds=newest)
-        run = run_alerts(rules, registry, read_aggregates(spark, aggregates_path), None, as_of)
-        _replace_folder(run.history, history_path, "batch", batch_id)
-        _replace_folder(run.notifications, notifications_path, "batch", batch_id)
-        _state_after(run.rules, rules_path, batch_id)
+        due, idle = alerts.split_due_rules(_state_before(spark, rules_path, batch_id), registry)
+        decided = alerts.evaluate_rules(due, read_aggregates(spark, aggregates_path), None, as_of)
+        with storage.staged(decided, "decisions") as decisions:
+            history, updated = alerts.fire_rules(decisions, as_of)
+            notifications = alerts.notification_rows(history, updated)
+            _replace_folder(alerts.mark_notified(history, notifications), history_path, "batch", batch_id)
+            _replace_folder(notifications, notifications_path, "batch", batch_id)
+            _state_after(updated.unionByName(idle), rules_path, batch_id)
 
     return start(rows, handle, checkpoint, **options)
 
@@ -226,12 +228,12 @@ def stream_admit(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = storage.written_copy(batch, "requests")
-        until = batch.agg(F.max("epoch")).first()[0]
-        if until is None:
-            return
-        carry = _state_before(spark, entries_path, batch_id)
-        _replace_folder(ratelimit.admit(batch, limits, window, mode, carry), decisions_path, "batch", batch_id)
+        with storage.staged(batch, "requests") as new:
+            until = new.agg(F.max("epoch")).first()[0]
+            if until is None:
+                return
+            carry = _state_before(spark, entries_path, batch_id)
+            _replace_folder(ratelimit.admit(new, limits, window, mode, carry), decisions_path, "batch", batch_id)
         decided = spark.read.parquet(f"{decisions_path}/batch={batch_id}")
         _state_after(ratelimit.carry_after(decided, until, carry, window, mode), entries_path, batch_id)
 
@@ -261,14 +263,14 @@ def stream_tail(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = storage.written_copy(batch, "tail-input")
         before = _state_before(spark, tail_path, batch_id)
-        rows, totals = batch, batch.groupBy("client_id").agg(F.count("*").alias("total"))
-        if before is not None:
-            rows = rows.unionByName(before.drop("position", "total"))
-            earlier = before.groupBy("client_id").agg(F.max("total").alias("total"))
-            totals = totals.unionByName(earlier).groupBy("client_id").agg(F.sum("total").alias("total"))
-        newest = top_per_group(rows, ["client_id"], [F.desc("received_at"), F.desc("id")], n, "position")
-        _state_after(newest.join(totals, "client_id"), tail_path, batch_id)
+        with storage.staged(batch, "tail-input") as new:
+            rows, totals = new, new.groupBy("client_id").agg(F.count("*").alias("total"))
+            if before is not None:
+                rows = rows.unionByName(before.drop("position", "total"))
+                earlier = before.groupBy("client_id").agg(F.max("total").alias("total"))
+                totals = totals.unionByName(earlier).groupBy("client_id").agg(F.sum("total").alias("total"))
+            newest = top_per_group(rows, ["client_id"], [F.desc("received_at"), F.desc("id")], n, "position")
+            _state_after(newest.join(totals, "client_id"), tail_path, batch_id)
 
     return start(events, handle, checkpoint, **options)
