@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallygrid.fixed_values import ACTIVE_USER_PERIODS, EXPLORE_PERIODS, OVERVIEW_PERIODS
+from tallygrid.fixed_values import ACTIVE_USER_PERIODS, EXPLORE_PERIODS
 from tallygrid.functions import compare_alert, compare_exact, json_property, split_steps, window_bounds
 from tallygrid.operators import metrics, rollups
 from tallygrid.operators.filters import browse_filter, in_window, known_users, list_keys, list_rules

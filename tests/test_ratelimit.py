@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallygrid.operators import ratelimit
 from tallygrid.schemas import REQUESTS
