@@ -32,7 +32,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbol_rate": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "2 * n_dup_lines > n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "few_letter_words": "10 * n_letter_words < 7 * n_words",

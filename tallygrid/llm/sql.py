@@ -22,7 +22,7 @@ measured AS (
     FROM numbered LEFT JOIN lines l USING (rn) LEFT JOIN covered c USING (rn)),
 ledger AS (
     SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-        + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+        + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
         + CASE WHEN 10 * n_letter_words < 7 * n_words THEN 64 ELSE 0 END + CASE WHEN longest_word > 1000 THEN 128 ELSE 0 END)::BIGINT AS failed
     FROM measured)"""
