@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import byte_bpe, quality_rules
+from tallygrid.llm import byte_bpe, language_id, pii, quality_rules
 from tallygrid.llm.common import prepare, read_table
 from tallygrid.llm.sql import SQL
 
@@ -55,3 +55,27 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from profiles of three quarters of the ids."""
+    docs = read_table(spark, sf_dir, "documents")
+    profiles = language_id.fit(docs, language_id.fold("doc_id", 4) != 2)
+    return language_id.predict(docs, profiles).select(
+        "doc_id", (language_id.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    base = F.concat(*[pii.span_texts(F.col(kind.name)) for kind in pii.KINDS if kind.base])
+    every = F.concat(*[pii.span_texts(F.col(kind.name)) for kind in pii.KINDS])
+    return found.select(
+        "doc_id",
+        *[F.size(kind.name).cast("long").alias(f"n_{kind.name}") for kind in pii.KINDS],
+        F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(every, ",").alias("spans"),
+    )
