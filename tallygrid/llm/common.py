@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallygrid.session import configure, new_run_dir
 
@@ -74,3 +74,8 @@ def by_batch(function: Callable[[dict[str, list]], dict[str, list]], schema: pa.
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
 
     return run
+
+
+def fold(id_col: str, folds: int) -> Column:
+    """CRC-32 of the id as text, modulo ``folds``; a null id is in no fold."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

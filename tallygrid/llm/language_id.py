@@ -176,8 +176,3 @@ def reject_unknown(docs: DataFrame, profiles: Profiles, text_col: str = "text",
     no letters, or hardly any n-gram near its place in any profile."""
     judged = docs.withColumn("_judged", prediction(profiles, docs.sparkSession)(F.col(text_col)))
     return judged.where((F.col("_judged.lang_pred") != UNKNOWN) & (F.col("_judged.score") >= min_score)).drop("_judged")
-
-
-def fold(id_col: str, folds: int) -> Column:
-    """CRC-32 of the id as text, modulo ``folds``; a null id is in no fold."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

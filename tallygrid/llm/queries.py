@@ -8,8 +8,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import byte_bpe, language_id, pii, quality_rules
-from tallygrid.llm.common import prepare, read_table
+from tallygrid.llm import byte_bpe, chat_format, chosen_path, language_id, pii, quality_rules, ring_sharding, toxicity
+from tallygrid.llm.common import fold, prepare, read_table
 from tallygrid.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,9 +61,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, from profiles of three quarters of the ids."""
     docs = read_table(spark, sf_dir, "documents")
-    profiles = language_id.fit(docs, language_id.fold("doc_id", 4) != 2)
+    profiles = language_id.fit(docs, fold("doc_id", 4) != 2)
     return language_id.predict(docs, profiles).select(
-        "doc_id", (language_id.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
     )
 
 
@@ -79,3 +79,40 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(every, ",").alias("spans"),
     )
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that is full of control strings, formatted and read back."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = chat_format.assemble_conversations(chat_format.format_turns(rows, path, public_tokenizers.PATTERN))
+    lost = F.array_join("loss_texts", "")
+    said_all = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chat_format.read_back(formatted, path, public_tokenizers.PATTERN).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_all.cast("binary"), 256).alias("turns_sha256"),
+        F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards."""
+    return ring_sharding.assign(read_table(spark, sf_dir, "documents"), shards=24)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is, by a model of four fifths of the labels."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, fold("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: five-word shingles, similarity of 0.8 or more."""
+    return chosen_path.join(read_table(spark, sf_dir, "documents"))

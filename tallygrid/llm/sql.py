@@ -47,4 +47,15 @@ FROM ledger, rules GROUP BY policy, rule""",
 WITH {LEDGER}
 SELECT source, count(*) AS n, bit_or(failed) AS any_failed, bit_and(failed) AS all_failed, avg(bit_count(failed)) AS mean_failures
 FROM ledger GROUP BY source""",
+    "op7_chat_format": r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, n, who, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, who))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|>' || '<|says|>' || '<|end|>')
+           + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""",
 }
