@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import byte_bpe, chat_format, chosen_path, language_id, pii, quality_rules, ring_sharding, toxicity
+from tallygrid.llm import byte_bpe, chat_format, chosen_path, kmeans_tree, language_id, packing, pii, quality_rules, ring_sharding, toxicity
 from tallygrid.llm.common import fold, prepare, read_table
 from tallygrid.llm.sql import SQL
 
@@ -116,3 +116,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: five-word shingles, similarity of 0.8 or more."""
     return chosen_path.join(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return kmeans_tree.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
