@@ -46,7 +46,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
 LETTERS = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"[^\W\d_][^\s\w'’.,;:!?()\"-]+[^\W\d_]|[^\W\d_][013457@$]+[^\W\d_]")
+MIXED = re.compile(r"[^\W\d_][^\s\w'’.,;:!?()\"-]+[^\W\d_]|[^\W\d_][013457@$!]+[^\W\d_]")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?!\w)")
 
 FEATURES = (
