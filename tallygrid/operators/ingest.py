@@ -71,14 +71,19 @@ def _judged(item: Column) -> Column:
 def parse_batches(lines: DataFrame) -> DataFrame:
     """Text lines (``value``) as envelopes: api_key, events, batch_reasons, raw.
 
-    A line is ``{"api_key": ..., "events": [...]}`` with 1 to 1000 events.
+    A line is ``{"api_key": ..., "events": [...]}`` with 1 to 1000 events, or a single event with its
+    own members beside the key: ``{"api_key": ..., "event_name": ...}``.
     """
     parsed = lines.select("value", F.try_parse_json("value").alias("doc"))
+    single = F.try_variant_get("doc", "$.events", "variant").isNull()
     parsed = parsed.select(
         "value",
         "doc",
         F.try_variant_get("doc", "$.api_key", "string").alias("api_key"),
-        F.try_variant_get("doc", "$.events", "array<variant>").alias("events"),
+        F.coalesce(
+            F.try_variant_get("doc", "$.events", "array<variant>"),
+            F.when(single & F.try_variant_get("doc", "$.event_name", "variant").isNotNull(), F.array("doc")),
+        ).alias("events"),
     )
     count = F.size("events")
     reasons = failed(
@@ -102,7 +107,7 @@ def explode_batches(batches: DataFrame, policy: str = REJECT_BATCH, time_field:
         # nothing to know about the other events: explode first, check row by row
         rows = batches.select(
             "api_key", "batch_reasons", "raw", F.lit(False).alias("spoiled"),
-            F.explode_outer(F.when(whole, F.col("events"))).alias("event"),
+            F.posexplode_outer(F.when(whole, F.col("events"))).alias("place", "event"),
         )
         item = F.when(F.col("event").isNotNull(), _extracted(F.col("event"), time_field))
         rows = rows.withColumn("item", item).withColumn("item", _timed(F.col("item")))
@@ -115,7 +120,7 @@ def explode_batches(batches: DataFrame, policy: str = REJECT_BATCH, time_field:
         checked = checked.withColumn("items", F.transform("items", _judged))
         spoiled = F.coalesce(F.exists("items", lambda i: F.size(i["faults"]) > 0), F.lit(False))
         rows = checked.select(
-            "api_key", "batch_reasons", "raw", spoiled.alias("spoiled"), F.explode_outer("items").alias("item")
+            "api_key", "batch_reasons", "raw", spoiled.alias("spoiled"), F.posexplode_outer("items").alias("place", "item")
         )
     faults = F.col("item.faults")
     reasons = (
@@ -126,10 +131,16 @@ def explode_batches(batches: DataFrame, policy: str = REJECT_BATCH, time_field:
     # only refused rows carry their text, and a refused envelope only once
     refused = F.when(F.size("reasons") > 0, F.coalesce(F.to_json("item.event"), F.col("raw")))
     return rows.withColumn("reasons", reasons).select(
-        "api_key", "item.user_id", "item.event_name", "item.properties", "item.event_time", "reasons", refused.alias("raw")
+        "api_key", "item.user_id", "item.event_name", "item.properties", "item.event_time", "reasons", refused.alias("raw"),
+        event_id(F.col("raw"), F.col("place")).alias("id"),
     )
 
 
+def event_id(line: Column, place: Column, load: Column | None = None) -> Column:
+    """Tracking id of an event: a hash of its line, its place in it and the load, so that a repeated job gives the same ids."""
+    return F.md5(F.concat_ws("|", *([load] if load is not None else []), place, line))
+
+
 def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(acceptable events, rejected rows with reasons) of ``explode_batches`` output."""
     return split_by_reasons(df)
@@ -150,11 +161,10 @@ def attribute_clients(df: DataFrame, registry: DataFrame) -> tuple[DataFrame, Da
 
 
 def apply_defaults(df: DataFrame, received_at: Column | None = None) -> DataFrame:
-    """Receipt time, event time where missing, and a tracking id."""
+    """Receipt time, event time where missing, and a tracking id where there is none yet."""
     received = F.current_timestamp() if received_at is None else received_at
-    return df.withColumns(
-        {"id": F.uuid(), "received_at": received, "event_time": F.coalesce("event_time", received)}
-    ).select(*EVENT_COLUMNS)
+    tracking = F.col("id") if "id" in df.columns else F.uuid()
+    return df.withColumns({"id": tracking, "received_at": received, "event_time": F.coalesce("event_time", received)})
 
 
 def check_batches(
@@ -170,10 +180,7 @@ def check_batches(
     readable = ~F.array_contains("reasons", MALFORMED)
     unknown = F.when(readable & F.col("client_id").isNull(), F.array(F.lit("unknown or revoked key")))
     rows = rows.withColumn("reasons", F.concat("reasons", F.coalesce(unknown, F.array().cast("array<string>"))))
-    received = F.current_timestamp() if received_at is None else received_at
-    return rows.withColumns(
-        {"id": F.uuid(), "received_at": received, "event_time": F.coalesce("event_time", received)}
-    ).select(*EVENT_COLUMNS, "reasons", "raw")
+    return apply_defaults(rows, received_at).select(*EVENT_COLUMNS, "reasons", "raw")
 
 
 def accepted(checked: DataFrame) -> DataFrame:

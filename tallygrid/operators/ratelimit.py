@@ -136,20 +136,47 @@ def admit(
 
 def carry_after(
     admitted: DataFrame,
-    until: int,
     carry: DataFrame | None = None,
     window: int = RATE_WINDOW_SECONDS,
     mode: str = PER_REQUEST,
+    lateness: int | None = None,
 ) -> DataFrame:
-    """Entries left by ``admit`` (and by the carry it started from) that can still count.
+    """What later requests need to know of ``admit`` and of the carry it started from.
 
-    Two windows are kept, so that requests arriving slightly late find theirs.
+    Each key is cut at its own newest request: entries of its last ``window + lateness`` seconds stay
+    (``lateness`` is one window unless given), so one key's clock does not touch another's. ``newest`` is that
+    request's time, kept also for a key without entries.
     """
-    allowed = admitted.filter("allowed").groupBy("client_id", "epoch").agg(F.count("*").alias("entered"))
-    entries = allowed if carry is None else allowed.unionByName(carry.select("client_id", "epoch", "entered"))
-    entered = F.sum("entered") if mode == PER_REQUEST else F.lit(1).cast("bigint")
-    recent = entries.filter(F.col("epoch") > F.lit(until) - 2 * window)
-    return recent.groupBy("client_id", "epoch").agg(entered.alias("entered"))
+    lateness = window if lateness is None else lateness
+    entries = admitted.filter("allowed").groupBy("client_id", "epoch").agg(F.count("*").alias("entered"))
+    moments = admitted.select("client_id", F.col("epoch").alias("newest"))
+    if carry is not None:
+        entries = entries.unionByName(carry.select("client_id", "epoch", "entered"))
+        moments = moments.unionByName(carry.select("client_id", "newest"))
+    newest = moments.groupBy("client_id").agg(F.max("newest").alias("newest"))
+    recent = entries.join(newest, "client_id").filter(F.col("epoch") > F.col("newest") - window - lateness)
+    marks = newest.select("client_id", F.col("newest").alias("epoch"), F.lit(0).cast("bigint").alias("entered"), "newest")
+    entered = F.sum("entered") if mode == PER_REQUEST else F.least(F.sum("entered"), F.lit(1).cast("bigint"))
+    both = recent.select("client_id", "epoch", "entered", "newest").unionByName(marks)
+    return both.groupBy("client_id", "epoch").agg(entered.alias("entered"), F.max("newest").alias("newest"))
+
+
+def split_late(
+    requests: DataFrame, carry: DataFrame | None, window: int = RATE_WINDOW_SECONDS, lateness: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(requests that can be decided, requests too late for it with a ``reason``).
+
+    A request more than ``lateness`` seconds older than its key's newest earlier one would meet a history
+    that is no longer whole."""
+    lateness = window if lateness is None else lateness
+    if carry is None:
+        return requests, requests.limit(0).withColumn("reason", F.lit(""))
+    newest = carry.groupBy("client_id").agg(F.max("newest").alias("newest"))
+    marked = requests.join(newest, "client_id", "left").withColumn(
+        "late", F.coalesce(F.col("epoch") <= F.col("newest") - lateness, F.lit(False))
+    )
+    late = marked.filter("late").withColumn("reason", F.lit("older than the lateness allowed for its key"))
+    return marked.filter("NOT late").drop("late", "newest"), late.drop("late", "newest")
 
 
 def attempt_rate(

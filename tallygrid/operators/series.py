@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import json
-import math
 from dataclasses import dataclass
 from datetime import timedelta
 
@@ -18,10 +17,14 @@ SERIES_KEY = ["client_id", "metric_name", "interval_start"]
 
 
 def fold_updates(updates: DataFrame, order: str = "updated_at") -> DataFrame:
-    """One row per key: the first update creates the row, the last one sets its value."""
+    """One row per key: the first update creates the row, the last one sets its value.
+
+    Updates with equal ``order`` (a time, or a sequence number if the source has one) are told apart by
+    their content, so the result does not depend on the order of rows.
+    """
     return updates.groupBy(*SERIES_KEY).agg(
-        F.min_by("interval_end", order).alias("interval_end"),
-        F.max_by(F.struct("value", "meta_data"), F.col(order)).alias("last"),
+        F.min(F.struct(order, "interval_end"))["interval_end"].alias("interval_end"),
+        F.max(F.struct(order, "value", "meta_data")).alias("last"),
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
     ).select(*SERIES_KEY, "interval_end", "last.value", "last.meta_data", "created_at", "updated_at")
@@ -132,9 +135,6 @@ def time_series_page(aggregates: DataFrame, metric: str, client_id: str, end: In
     return SeriesPage(items, cursor, has_next)
 
 
-# beyond this offset the page is first located by per-minute counts instead of sorting all
-DEEP_OFFSET = 100_000
-
 
 def events_page(
     df: DataFrame,
@@ -145,20 +145,17 @@ def events_page(
     user_id: str | None = None,
     page: int = 1,
     page_size: int = 100,
-    deep_offset: int = DEEP_OFFSET,
 ) -> DataFrame:
     """One page of events, newest first; ties by falling id. The default range is 24 hours.
 
-    Shallow pages are a per-task top-k. A deep page would make every task keep ``offset`` rows,
-    so it is located by event counts per minute first and only its own minutes are sorted.
+    The page is located by event counts per minute first and only its own minutes are sorted, so
+    no task keeps ``offset`` rows. Locating runs one small job when the query is built.
     """
     check_limit("page_size", page_size, PAGE_LIMITS)
     if page < 1:
         raise ValueError("page starts at 1")
     rows = _page_source(df, end, start, client_id, event_name, user_id)
-    offset = (page - 1) * page_size
-    if offset > deep_offset:
-        rows, offset = _locate(rows, offset, page_size)
+    rows, offset = _locate(rows, (page - 1) * page_size, page_size)
     newest = rows.orderBy(F.desc("event_time"), F.desc("id"))
     return newest.offset(offset).limit(page_size)
 
@@ -187,12 +184,6 @@ def _locate(rows: DataFrame, offset: int, size: int) -> tuple[DataFrame, int]:
     return inside, offset - span["skipped"]
 
 
-def page_figures(total: int, page: int, page_size: int) -> dict:
-    pages = math.ceil(total / page_size) if total > 0 else 0
-    return {"total": total, "page": page, "page_size": page_size, "total_pages": pages,
-            "has_next": page < pages, "has_prev": page > 1}
-
-
 def events_page_info(
     df: DataFrame,
     end: Instant,

@@ -44,6 +44,11 @@ SECONDS = admit_sql(
 )
 
 
+EACH_SECOND = admit_sql(
+    1, "len(kept) < lim", "CASE WHEN len(kept) < lim THEN len(kept) + 1 ELSE len(kept) END", "list_distinct(list_append(kept, s.epoch))"
+)
+
+
 def _requests(spark, sf, grain: int = 1):
     log = adapter.requests(adapter.events(spark, sf))
     return log.withColumn("epoch", F.floor(F.col("epoch") / grain) * grain) if grain > 1 else log

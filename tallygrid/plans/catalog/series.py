@@ -123,10 +123,7 @@ def events_page(spark, sf):
 
 @query("events_page_deep", page_sql(f"event_time >= TIMESTAMP '2024-01-01' AND event_time < {T}", 6000, 1000))
 def events_page_deep(spark, sf):
-    # the located form, used by default for offsets above 100,000
-    return series.events_page(
-        adapter.events(spark, sf), AS_OF, start="2024-01-01", page=7, page_size=1000, deep_offset=1000
-    )
+    return series.events_page(adapter.events(spark, sf), AS_OF, start="2024-01-01", page=7, page_size=1000)
 
 
 @query("events_page_info", f"""
@@ -196,6 +193,50 @@ def replace_tenant_events(spark, sf):
     return readers.read_stored_events(spark, new).select("id", "client_id", "event_name")
 
 
+@query("replace_tenant_repeated", """
+SELECT id, client_id, event_name, 'first' AS load_id FROM ev WHERE client_id <> '2'
+UNION ALL SELECT 'new-' || id, client_id, 'reloaded', 'reload' FROM ev WHERE client_id = '2' AND event_name = 'view'""")
+def replace_tenant_repeated(spark, sf):
+    """A tenant reload that ran twice into the same new version, after which the first load is still known by its id."""
+    old, new = new_run_dir(spark, "events"), new_run_dir(spark, "events")
+    events = adapter.events(spark, sf)
+    storage.append_events(events, old, "first")
+    fresh = events.filter("client_id = '2' AND event_name = 'view'").withColumns(
+        {"id": F.concat(F.lit("new-"), "id"), "event_name": F.lit("reloaded")}
+    )
+    tenants = events.filter("client_id = '2'").select("client_id")
+    for _ in range(2):
+        storage.replace_tenant_events(fresh, old, new, tenants)
+    return readers.read_stored_events(spark, new).select("id", "client_id", "event_name", "load_id")
+
+
+@query("append_events_repeated", "SELECT *, CAST(event_time AS DATE) AS event_date, 'second' AS load_id FROM ev WHERE event_name = 'click' AND event_time >= TIMESTAMP '2024-01-20'")
+def append_events_repeated(spark, sf):
+    """A load that is repeated with fewer days, and another that is repeated empty."""
+    path = new_run_dir(spark, "events")
+    events = adapter.events(spark, sf)
+    clicks = events.filter("event_name = 'click'")
+    storage.append_events(events, path, "first")
+    storage.append_events(clicks, path, "second")
+    storage.append_events(clicks.filter("event_time >= TIMESTAMP '2024-01-20'"), path, "second")
+    storage.append_events(events.limit(0), path, "first")
+    return readers.read_stored_events(spark, path)
+
+
+@query("compact_events", """
+SELECT *, CAST(event_time AS DATE) AS event_date,
+       CASE WHEN event_time < TIMESTAMP '2024-01-20' THEN 'compact-' || CAST(CAST(event_time AS DATE) AS VARCHAR)
+            WHEN event_name = 'view' THEN 'views' ELSE 'others' END AS load_id FROM ev""")
+def compact_events(spark, sf):
+    path, compacted = new_run_dir(spark, "events"), new_run_dir(spark, "events")
+    events = adapter.events(spark, sf)
+    storage.append_events(events.filter("event_name = 'view'"), path, "views")
+    storage.append_events(events.filter("event_name <> 'view'"), path, "others")
+    for _ in range(2):  # a repeat gives the same version
+        storage.compact_events(spark, path, compacted, "2024-01-20")
+    return readers.read_stored_events(spark, compacted)
+
+
 STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallygrid.functions.times import literal_time
 from tallygrid.operators import ingest, ratelimit
-from tallygrid.operators.filters import in_window
 from tallygrid.plans.catalog.common import AS_OF, query
-from tallygrid.plans.catalog.live import ACCEPTED, EACH, HOUR, INCOMING, SUBSCRIBED, subscription_state
+from tallygrid.plans.catalog.live import ACCEPTED, EACH, EACH_SECOND, HOUR, INCOMING, SUBSCRIBED, subscription_state
 from tallygrid.session import new_run_dir
 from tallygrid.sources import adapter, readers
 from tallygrid.streaming import jobs
 
 T = f"TIMESTAMP '{AS_OF}'"
-CUTS = ("2024-01-01", "2024-01-11", "2024-01-21 07:30:00", "2024-02-01")
+CUTS = ("2024-01-11", "2024-01-21 07:30:00")
 EVENT_DDL = (
     "id STRING, client_id STRING, user_id STRING, event_name STRING, properties STRING, "
     "event_time TIMESTAMP, received_at TIMESTAMP"
@@ -27,8 +27,10 @@ def feed(spark: SparkSession, sf: str, run: Callable[[DataFrame], StreamingQuery
     """Three arrivals of events in time order; after each the job is resumed and drained."""
     path = new_run_dir(spark, "arrivals")
     events = adapter.events(spark, sf)
-    for start, end in zip(CUTS, CUTS[1:]):
-        in_window(events, start, end).write.mode("append").parquet(path)
+    first, second = (literal_time(cut) for cut in CUTS)
+    time = F.col("event_time")
+    for arrived in (time < first, (time >= first) & (time < second), time >= second):
+        events.filter(arrived).write.mode("append").parquet(path)
         run(spark.readStream.schema(EVENT_DDL).parquet(path)).awaitTermination()
 
 
@@ -84,6 +86,20 @@ def stream_ingest(spark, sf):
     return stored.select("client_id", "user_id", "event_name", "properties", known.alias("event_time"))
 
 
+@query("stream_ingest_two_jobs", INCOMING.format(reject="false") + ACCEPTED.split("CASE WHEN n % 31")[0] + """
+CASE WHEN n % 31 <> 0 THEN ts END AS event_time FROM seen, (VALUES (1), (2)) twice(job) WHERE len(reasons) = 0""")
+def stream_ingest_two_jobs(spark, sf):
+    """Two jobs with checkpoints of their own store the same lines into one table: neither takes the other's place."""
+    arrivals, table, quarantine = _dirs(spark, "arrivals", "events", "quarantine")
+    adapter.envelopes(adapter.events(spark, sf)).repartition(4, "value").write.text(arrivals)
+    for checkpoint in _dirs(spark, "checkpoint", "checkpoint"):
+        stream = readers.read_lines(spark, arrivals, streaming=True, max_files=2)
+        jobs.stream_ingest(stream, adapter.registry(spark, sf), table, quarantine, checkpoint, ingest.SKIP_EVENT).awaitTermination()
+    known = F.when(F.col("event_time") != F.col("received_at"), F.col("event_time"))
+    stored = readers.read_stored_events(spark, table)
+    return stored.select("client_id", "user_id", "event_name", "properties", known.alias("event_time"))
+
+
 @query("stream_quarantine", INCOMING.format(reject="true") + """
 SELECT array_to_string(reasons, '; ') AS reason, count(*) AS events FROM seen WHERE len(reasons) > 0 GROUP BY ALL""")
 def stream_quarantine(spark, sf):
@@ -105,7 +121,7 @@ def stream_admit(spark, sf):
     return spark.read.parquet(decisions).drop("batch")
 
 
-@query("stream_admit_distinct_second")
+@query("stream_admit_distinct_second", EACH_SECOND + "SELECT * FROM admitted", recursive=True)
 def stream_admit_distinct_second(spark, sf):
     decisions, entries, checkpoint = _dirs(spark, "decisions", "entries", "checkpoint")
     limits = adapter.registry(spark, sf)
@@ -115,6 +131,23 @@ def stream_admit_distinct_second(spark, sf):
     return spark.read.parquet(decisions).drop("batch")
 
 
+@query("stream_admit_wrong_clock", EACH + """SELECT * FROM admitted
+UNION ALL SELECT 'wrong', 4102444800, -1, true, 1, 100, 99, 4102448400""", recursive=True)
+def stream_admit_wrong_clock(spark, sf):
+    """The same decisions when one more key has a clock far in the future."""
+    decisions, entries, checkpoint = _dirs(spark, "decisions", "entries", "checkpoint")
+    limits = adapter.registry(spark, sf).select("id", F.col("rate_limit").cast("int").alias("rate_limit"))
+    limits = limits.unionByName(spark.createDataFrame([("wrong", 100)], "id string, rate_limit int"))
+
+    def run(events: DataFrame) -> StreamingQuery:
+        requests = adapter.requests(events)
+        ahead = requests.filter(F.col("seq") == 0).select(F.lit("wrong").alias("client_id"), F.lit(4_102_444_800).cast("bigint").alias("epoch"), F.lit(-1).cast("bigint").alias("seq"))
+        return jobs.stream_admit(requests.unionByName(ahead), limits, decisions, entries, checkpoint, window=HOUR)
+
+    feed(spark, sf, run)
+    return spark.read.parquet(decisions).drop("batch")
+
+
 @query("stream_fanout", SUBSCRIBED + """
 SELECT connection_id, client_id, channel, id AS event_id FROM ev JOIN subscribed USING (client_id) WHERE channel = 'events'""")
 def stream_fanout(spark, sf):

@@ -62,10 +62,25 @@ def append_events(df: DataFrame, path: str, load_id: str | None = None) -> None:
     """Append to the event table; sorted so that tenant and time bounds skip row groups.
 
     Every load has its own folder below each day. Repeating a load under the same ``load_id``
-    replaces it, so a job that failed half-way can simply run again.
+    replaces all of it, also on days that the repeat no longer has, so a job that failed half-way can
+    simply run again. Two jobs must not share load ids.
     """
-    stored = with_event_date(df).withColumn("load_id", F.lit(load_id or uuid.uuid4().hex))
+    spark = df.sparkSession
+    load = load_id or uuid.uuid4().hex
+    stored = with_event_date(df).withColumn("load_id", F.lit(load))
+    before = _days_of_load(spark, path, load)
     overwrite_partitions(_balanced(stored, "event_date", "client_id", "event_time"), path, "event_date", "load_id")
+    if before:  # a repeat: its days are calendar days, a short list
+        now = {str(row[0]) for row in stored.select("event_date").distinct().collect()}
+        for day in before - now:
+            drop_partition(spark, f"{path}/event_date={day}", "load_id", load)
+
+
+def _days_of_load(spark: SparkSession, path: str, load_id: str) -> set[str]:
+    """Days on which a load has a folder, from the file system listing alone."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date=*/load_id={load_id}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return {status.getPath().getParent().getName().split("=", 1)[1] for status in found or ()}
 
 
 def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
@@ -106,11 +121,37 @@ def merge_aggregates(
             write_aggregates(merged, path)
 
 
-def replace_tenant_events(df: DataFrame, current_path: str, new_path: str, tenants: list[str]) -> None:
-    """A new version of the event table: the tenants' old rows out, ``df`` in."""
+def replace_tenant_events(df: DataFrame, current_path: str, new_path: str, tenants: DataFrame | list[str], load_id: str = "reload") -> None:
+    """A new version of the event table: the tenants' old rows out, ``df`` in under ``load_id``.
+
+    ``tenants`` is a frame with ``client_id`` or a short list. Kept rows keep their load ids, so an earlier load
+    can still be repeated, and the version is written as a whole: a repeat gives the same table.
+    """
     spark = df.sparkSession
-    kept = read_stored_events(spark, current_path).filter(~F.col("client_id").isin(tenants))
-    append_events(kept.drop("event_date", "load_id").unionByName(df), new_path)
+    if not isinstance(tenants, DataFrame):
+        tenants = spark.createDataFrame([(t,) for t in tenants], "client_id string")
+    kept = read_stored_events(spark, current_path).join(tenants.select("client_id").distinct(), "client_id", "left_anti")
+    fresh = with_event_date(df).withColumn("load_id", F.lit(load_id))
+    _write_version(kept.unionByName(fresh.select(*kept.columns)), new_path)
+
+
+def _write_version(rows: DataFrame, path: str) -> None:
+    """A whole version of the event table, in place of whatever an earlier attempt left there."""
+    stored = _balanced(rows, "event_date", "client_id", "event_time")
+    writer = stored.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy("event_date", "load_id").parquet(path)
+
+
+def compact_events(spark: SparkSession, current_path: str, new_path: str, closed_before: Instant) -> None:
+    """A new version of the event table in which every day before ``closed_before`` is one load.
+
+    Streams leave a folder for each micro-batch and day; readers of the new version list one for each
+    closed day. Loads of closed days must not be repeated afterwards: they have been merged.
+    """
+    stored = read_stored_events(spark, current_path)
+    closed = F.col("event_date") < F.lit(at(closed_before).date())
+    merged = F.when(closed, F.concat(F.lit("compact-"), F.col("event_date").cast("string"))).otherwise(F.col("load_id"))
+    _write_version(stored.withColumn("load_id", merged), new_path)
 
 
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:

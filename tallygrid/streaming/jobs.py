@@ -1,8 +1,9 @@
 """Streaming jobs.
 
-Sinks are idempotent per micro-batch: batch *n* writes folders named after *n*, and job state
+Sinks are idempotent per micro-batch of one checkpoint: batch *n* writes folders named after *n*, and job state
 that is a table (rules, rate entries, feed tail) goes from version *n* to *n + 1*. A batch that is
-run again after a failure therefore replaces what it wrote before.
+run again after a failure therefore replaces what it wrote before. Ingest jobs may share a table: their loads are
+named after the checkpoint's query id too. State tables belong to one checkpoint.
 
 ``once=True`` works off everything that is there and stops (bounded catch-up); otherwise the
 query keeps running with the given trigger interval.
@@ -49,6 +50,11 @@ def _replace_folder(df: DataFrame, path: str, column: str, batch_id: int) -> Non
     df.write.mode("overwrite").parquet(f"{path}/{column}={batch_id}")
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint gives its query, the same at every restart."""
+    return spark.read.schema("id STRING").json(f"{checkpoint}/metadata").first()["id"]
+
+
 # --- versioned state tables -------------------------------------------------------------
 
 
@@ -88,19 +94,22 @@ def stream_ingest(
     quarantine_path: str,
     checkpoint: str,
     policy: str = ingest.REJECT_BATCH,
-    name: str = "stream",
+    name: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Check incoming envelopes, store the good events, keep the refused ones with reasons.
 
-    The receipt time is the micro-batch's own timestamp, which a re-run repeats.
+    The receipt time is the micro-batch's own timestamp, which a re-run repeats, and so do event ids. Loads and
+    quarantine folders are named after ``name``, by default the query id in the checkpoint; jobs that share
+    a table must not share a name.
     """
     checked = ingest.check_batches(lines, registry, policy)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        storage.append_events(ingest.accepted(batch), events_path, f"{name}-{batch_id}")
-        _replace_folder(ingest.quarantined(batch), quarantine_path, "batch", batch_id)
+        load = f"{name or query_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        batch = batch.withColumn("id", F.md5(F.concat_ws("|", F.lit(load), "id"))).persist()
+        storage.append_events(ingest.accepted(batch), events_path, load)
+        ingest.quarantined(batch).write.mode("overwrite").parquet(f"{quarantine_path}/load={load}")
         batch.unpersist()
 
     return start(checked, handle, checkpoint, **options)
@@ -218,24 +227,29 @@ def stream_admit(
     checkpoint: str,
     window: int = RATE_WINDOW_SECONDS,
     mode: str = ratelimit.PER_REQUEST,
+    lateness: int | None = None,
+    late_path: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Decide every request of each micro-batch, carrying the entries still in the window.
 
-    State per key is at most one row per second of two windows, held as a table, and the decision
-    itself is the batch operator: a key with most of the traffic does not land in one task.
+    State per key is at most one row per second of ``window + lateness`` (two windows by default), held as a table,
+    and the decision itself is the batch operator. Requests that come later than ``lateness`` are not decided
+    but kept with a reason in ``late_path`` (by default beside the decisions).
     """
+    late_path = late_path or f"{decisions_path}-late"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        with storage.staged(batch, "requests") as new:
-            until = new.agg(F.max("epoch")).first()[0]
-            if until is None:
+        with storage.staged(batch.filter("client_id IS NOT NULL AND epoch IS NOT NULL"), "requests") as new:
+            if new.isEmpty():
                 return
             carry = _state_before(spark, entries_path, batch_id)
-            _replace_folder(ratelimit.admit(new, limits, window, mode, carry), decisions_path, "batch", batch_id)
+            due, late = ratelimit.split_late(new, carry, window, lateness)
+            _replace_folder(late, late_path, "batch", batch_id)
+            _replace_folder(ratelimit.admit(due, limits, window, mode, carry), decisions_path, "batch", batch_id)
         decided = spark.read.parquet(f"{decisions_path}/batch={batch_id}")
-        _state_after(ratelimit.carry_after(decided, until, carry, window, mode), entries_path, batch_id)
+        _state_after(ratelimit.carry_after(decided, carry, window, mode, lateness), entries_path, batch_id)
 
     return start(requests, handle, checkpoint, **options)
 

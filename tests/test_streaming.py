@@ -110,8 +110,41 @@ def test_ingest_in_small_batches_and_repeated(spark, registry):
     for text in texts:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(source)
     for _ in range(2):
-        query = jobs.stream_ingest(readers.read_lines(spark, source, True, max_files=1), keyed, table, quarantine, new_run_dir(spark, "check"))
+        # one name for both runs: the second takes the place of the first
+        query = jobs.stream_ingest(
+            readers.read_lines(spark, source, True, max_files=1), keyed, table, quarantine, new_run_dir(spark, "check"), name="one"
+        )
         query.awaitTermination()
         assert jobs.progress(query)["batch"] == 4
         assert sorted(r["event_name"] for r in readers.read_stored_events(spark, table).collect()) == ["w", "x", "y"]
         assert spark.read.parquet(quarantine).count() == 2
+
+
+def test_two_ingest_jobs_share_a_table(spark, registry):
+    keyed = registry.withColumn("key_hash", __import__("pyspark").sql.functions.sha2("id", 256))
+    table, quarantine = dirs(spark, "events", "quarantine")
+    checkpoints = dirs(spark, "check", "check")
+    for names, checkpoint in ((("x", "y"), checkpoints[0]), (("z", ""), checkpoints[1]), (("w",), checkpoints[0])):
+        source = new_run_dir(spark, "in")
+        lines = [(json.dumps({"api_key": "a", "event_name": n}),) for n in names]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.text(source)
+        jobs.stream_ingest(readers.read_lines(spark, source, True), keyed, table, quarantine, checkpoint).awaitTermination()
+    stored = readers.read_stored_events(spark, table).collect()
+    assert sorted(r["event_name"] for r in stored) == ["w", "x", "y", "z"]
+    assert len({r["id"] for r in stored}) == 4 and spark.read.parquet(quarantine).count() == 1
+
+
+def test_one_clock_does_not_reset_other_keys(spark):
+    source, decisions, entries, checkpoint = dirs(spark, "in", "decisions", "entries", "check")
+    parts = [
+        [("a", 1000, 1), ("a", 1001, 2), ("b", 9_000_000, 3)],  # a is full, the clock of b is wrong
+        [("a", 1002, 4), ("a", 1003, 5), ("b", 1004, 6)],
+        [("a", 1061, 7), ("a", 940, 8)],  # the first entry of a has left; the last request is too late
+    ]
+    for part in parts:
+        arrive(spark.createDataFrame(part, REQUESTS), source)
+        stream = spark.readStream.schema(REQUESTS).parquet(source)
+        jobs.stream_admit(stream, limits_frame(spark, {"a": 2, "b": 2}), decisions, entries, checkpoint).awaitTermination()
+    allowed = {r["seq"]: r["allowed"] for r in spark.read.parquet(decisions).collect()}
+    assert allowed == {1: True, 2: True, 3: True, 4: False, 5: False, 7: True}
+    assert sorted(r["seq"] for r in spark.read.parquet(f"{decisions}-late").collect()) == [6, 8]
