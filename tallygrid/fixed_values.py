@@ -79,4 +79,5 @@ TRIGGER_MESSAGE = "Alert '%s' triggered: %s %s %s (current: %.2f)"
 
 # --- fixed values: live channels -------------------------------------------------------
 DEFAULT_CHANNELS = ("events", "metrics", "alerts")
+NOTICE_CHANNEL = "rate_limit"
 NOTICE_DELIVERY_CHANNEL = "events"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallygrid.fixed_values import DEFAULT_CHANNELS, LIVE_TAIL_SIZE, NOTICE_DELIVERY_CHANNEL
+from tallygrid.fixed_values import DEFAULT_CHANNELS, LIVE_TAIL_SIZE, NOTICE_CHANNEL, NOTICE_DELIVERY_CHANNEL
 from tallygrid.functions.times import iso_text
-from tallygrid.operators.filters import top_per_group
+from tallygrid.operators.filters import newest_per_group
 
 _JSON = {"ignoreNullFields": "false"}
 
@@ -24,8 +24,8 @@ def _event_body() -> Column:
     )
 
 
-def fanout_events(df: DataFrame, delivered: bool = False) -> DataFrame:
-    """One message per event on its tenant's ``events`` channel.
+def fanout_events(df: DataFrame, delivered: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One message per event on its tenant's ``events`` channel, with the ``keep`` columns beside it.
 
     The published form is ``{client_id, event}``; the ``delivered`` form is what a connection
     receives: ``{type, data, timestamp}``.
@@ -34,30 +34,35 @@ def fanout_events(df: DataFrame, delivered: bool = False) -> DataFrame:
     outgoing = F.struct(
         F.lit("event").alias("type"), _event_body().alias("data"), iso_text(F.col("received_at")).alias("timestamp")
     )
-    return df.select(*_message("events", outgoing if delivered else published))
+    return df.select(*_message("events", outgoing if delivered else published), *keep)
 
 
-def fanout_metrics(aggregates: DataFrame) -> DataFrame:
-    """One message per stored metric value."""
-    body = F.struct(
-        F.lit("metric").alias("type"), F.col("metric_name").alias("metric"), "value",
-        F.coalesce(F.try_parse_json("meta_data"), F.parse_json(F.lit("{}"))).alias("metadata"),
-    )
-    return aggregates.select(*_message("metrics", body))
+def fanout_metrics(aggregates: DataFrame, delivered: bool = True) -> DataFrame:
+    """One message per stored metric value; published as ``{client_id, metric, value, metadata}``."""
+    metadata = F.coalesce(F.try_parse_json("meta_data"), F.parse_json(F.lit("{}"))).alias("metadata")
+    head = F.lit("metric").alias("type") if delivered else F.col("client_id")
+    return aggregates.select(*_message("metrics", F.struct(head, F.col("metric_name").alias("metric"), "value", metadata)))
 
 
-def fanout_alerts(notifications: DataFrame) -> DataFrame:
-    """One message per websocket notification."""
+def fanout_alerts(notifications: DataFrame, delivered: bool = True) -> DataFrame:
+    """One message per websocket notification; published as ``{client_id, alert}``. The message's own
+    ``timestamp`` is the time of the firing: no query reads the clock."""
+    fired = iso_text(F.col("triggered_at"))
     body = F.struct(
         F.lit("alert").alias("type"), "alert_id", "alert_name", "severity", "message",
         F.try_parse_json("context").alias("context"),
-        iso_text(F.col("triggered_at")).alias("triggered_at"),
+        fired.alias("triggered_at"),
+        fired.alias("timestamp"),
     )
-    return notifications.filter(F.col("channel") == "websocket").select(*_message("alerts", body))
+    outgoing = body if delivered else F.struct("client_id", body.alias("alert"))
+    return notifications.filter(F.col("channel") == "websocket").select(*_message("alerts", outgoing))
 
 
-def fanout_notices(notices: DataFrame) -> DataFrame:
-    """One message per rate-limit notice; these travel on the ``events`` channel."""
+def fanout_notices(notices: DataFrame, delivered: bool = True) -> DataFrame:
+    """One message per rate-limit notice: published ``{client_id, limit, reset_at}`` on a channel of its own,
+    delivered on the ``events`` channel."""
+    if not delivered:
+        return notices.select(*_message(NOTICE_CHANNEL, F.struct("client_id", "limit", "reset_at")))
     body = F.struct(F.lit("rate_limit_exceeded").alias("type"), "limit", "reset_at")
     return notices.select(*_message(NOTICE_DELIVERY_CHANNEL, body))
 
@@ -95,7 +100,8 @@ def subscription_state(connections: DataFrame, commands: DataFrame) -> DataFrame
 def route_messages(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Each message to each connection of its tenant that is subscribed to its channel.
 
-    The join carries no hint: Spark broadcasts the subscriptions while they are below its size
+    ``messages`` are best ids with tenant and channel (texts are stored once, see ``stream_fanout``), and
+    ``subscriptions`` those of the connections whose feed is asked for: the result is their product per tenant. The join carries no hint: Spark broadcasts the subscriptions while they are below its size
     threshold, and otherwise shuffles with skew handling for busy tenants.
     """
     keyed = messages.join(subscriptions, ["client_id", "channel"])
@@ -103,10 +109,7 @@ def route_messages(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def live_tail(df: DataFrame, n: int = LIVE_TAIL_SIZE) -> DataFrame:
-    """The newest ``n`` events of each tenant with the tenant's running total.
-
-    Each map task forwards at most ``n`` rows per tenant (see ``top_per_group``).
-    """
-    newest = top_per_group(df, ["client_id"], [F.desc("received_at"), F.desc("id")], n, "position")
+    """The newest ``n`` events of each tenant with the tenant's running total (see ``newest_per_group``)."""
+    newest = newest_per_group(df, ["client_id"], "received_at", ["id"], n, "position")
     totals = df.groupBy("client_id").agg(F.count("*").alias("total"))
     return newest.join(totals, "client_id")

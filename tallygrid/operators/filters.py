@@ -74,13 +74,47 @@ def top_per_group(
 ) -> DataFrame:
     """The first ``n`` rows of every group with their rank.
 
-    Catalyst turns the rank filter into a per-task limit before the shuffle, so a group that
-    holds most of the table still sends at most ``n`` rows per map task to its one reducer.
+    Catalyst turns the rank filter into a per-task limit before the shuffle (for n up to the session's
+    ``windowGroupLimitThreshold``). That suits small n and inputs that are already aggregated; for
+    large n over raw rows see ``newest_per_group``.
     """
     ranks = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_column, F.row_number().over(ranks)).filter(F.col(rank_column) <= n)
 
 
+def newest_per_group(
+    df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], n: int, rank_column: str = "rank"
+) -> DataFrame:
+    """The ``n`` newest rows of every group, ties by falling ``ties``, with their rank.
+
+    Each group is first cut by counts: at the minute that holds its n-th newest row, then inside that minute
+    at the second. So no more than n rows and those of one second are ranked per group,
+    however large the table is; rows without a time come last.
+    """
+    keys, rows = list(keys), df.withColumn("_second", F.coalesce(F.unix_seconds(time), F.lit(-(2**62))))
+    rows = rows.withColumn("_minute", F.floor(F.col("_second") / 60))
+    every = F.lit(-(2**62))
+    by_minute = _cut(rows.groupBy(*keys, "_minute").agg(F.count("*").alias("n")), keys, "_minute", F.lit(n))
+    rows = rows.join(by_minute.select(*keys, F.col("cut").alias("_cut"), F.col("newer").alias("_newer")), keys, "left")
+    rows = rows.filter(F.col("_minute") >= F.coalesce("_cut", every))
+    inside = rows.filter(F.col("_minute") == F.col("_cut")).groupBy(*keys, "_second").agg(
+        F.count("*").alias("n"), (n - F.max("_newer")).alias("left")
+    )
+    by_second = _cut(inside, keys, "_second", F.col("left"))
+    rows = rows.join(by_second.select(*keys, F.col("cut").alias("_from")), keys, "left")
+    rows = rows.filter((F.col("_minute") > F.coalesce("_cut", every)) | (F.col("_second") >= F.coalesce("_from", every)))
+    order = [F.desc(c) for c in (time, *ties)]
+    return top_per_group(rows, keys, order, n, rank_column).drop("_second", "_minute", "_cut", "_newer", "_from")
+
+
+def _cut(counts: DataFrame, keys: Sequence[str], bucket: str, wanted: Column) -> DataFrame:
+    """Per group the bucket that holds the ``wanted``-th newest row (none if there are fewer), and the rows newer than it."""
+    so_far = Window.partitionBy(*keys).orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = counts.withColumn("upto", F.sum("n").over(so_far)).withColumn("newer", F.col("upto") - F.col("n"))
+    held = summed.filter((F.col("newer") < wanted) & (F.col("upto") >= wanted))
+    return held.select(*keys, F.col(bucket).alias("cut"), "newer")
+
+
 def with_idle_tenants(result: DataFrame, registry: DataFrame | None, zeros: dict[str, Column]) -> DataFrame:
     """One row per active tenant, with ``zeros`` where it has no result of its own."""
     if registry is None:

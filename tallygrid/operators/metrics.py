@@ -8,6 +8,7 @@ map task before their shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -292,16 +293,26 @@ def share_of_total(
     return items.join(sums, keys).withColumn("share", F.round(F.col("count") / whole * 100, 1)).drop("items_sum")
 
 
-def key_usage(events: DataFrame, registry: DataFrame, day: Instant) -> DataFrame:
-    """Per key: events received on ``day`` and the time of the last one."""
-    start = literal_time(at(day).replace(hour=0, minute=0, second=0, microsecond=0))
-    received = F.col("received_at")
-    today = (received >= start) & (received < start + F.expr("INTERVAL 1 DAY"))
-    used = events.groupBy("client_id").agg(
-        F.count_if(today).alias("requests_today"), F.max("received_at").alias("last_used")
-    )
-    return registry.join(used, registry["id"] == used["client_id"], "left").select(
-        registry["id"],
+def last_seen(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(client_id, last_used) of a load of events, folded into what was known ``before`` it."""
+    seen = events.select("client_id", F.col("received_at").alias("last_used"))
+    rows = seen if before is None else seen.unionByName(before.select("client_id", "last_used"))
+    return rows.groupBy("client_id").agg(F.max("last_used").alias("last_used"))
+
+
+def key_usage(events: DataFrame, registry: DataFrame, day: Instant, seen: DataFrame | None = None) -> DataFrame:
+    """Per key: events received on ``day`` and the time of the last one.
+
+    The day's count reads that day only. ``seen`` is a table kept up per load with ``last_seen``; without
+    it the time of the last event is taken from the whole history (two columns).
+    """
+    start = at(day).replace(hour=0, minute=0, second=0, microsecond=0)
+    today = in_window(events, start, start + timedelta(days=1), column="received_at")
+    used = today.groupBy("client_id").agg(F.count("*").alias("requests_today"))
+    seen = last_seen(events) if seen is None else seen
+    named = registry.withColumn("client_id", F.col("id"))
+    return named.join(used, "client_id", "left").join(seen, "client_id", "left").select(
+        "id",
         "client_name",
         "rate_limit",
         F.coalesce("requests_today", F.lit(0)).alias("requests_today"),

@@ -212,17 +212,47 @@ def fanout_metrics(spark, sf):
     return fanout.fanout_metrics(rollups.rollup_backfill(adapter.events(spark, sf), AS_OF))
 
 
+# as a JSON object the context's members come in sorted order, and numbers without needless zeros
+NUMBER = "regexp_replace(CAST({0} AS VARCHAR), '\\.0$', '')"
+CONTEXT = f"""'{{"alert_id":"' || id || '","alert_name":"' || name || '","current_value":' || {NUMBER.format("current_value")}
+       || ',"operator":"' || operator || '","reason":"' || reason || '","should_trigger":true,"threshold":' || {NUMBER.format("threshold")} || '}}'"""
+
+
 @query("fanout_alerts", """
 SELECT client_id, 'alerts' AS channel, '{"type":"alert","alert_id":"' || id || '","alert_name":"' || name || '","severity":"'
-       || severity || '","message":"' || message || '","triggered_at":"2024-01-31T00:00:00+00:00"}' AS message
+       || severity || '","message":"' || message || '","context":' || """ + CONTEXT + """ || ',"triggered_at":"2024-01-31T00:00:00+00:00","timestamp":"2024-01-31T00:00:00+00:00"}' AS message
 FROM fired WHERE websocket""", ("agg", "rules", "valued", "met", "decided", "fired"))
 def fanout_alerts(spark, sf):
     events = adapter.events(spark, sf)
     decided = alerts.evaluate_rules(adapter.rules(spark, sf), rollups.rollup_backfill(events, AS_OF), events, AS_OF)
     history, updated = alerts.fire_rules(decided, AS_OF)
-    sent = fanout.fanout_alerts(alerts.notification_rows(history, updated))
-    # the context is checked by fire_rules; as a JSON object its members come in sorted order
-    return sent.withColumn("message", F.regexp_replace("message", r'"context":\{[^}]*\},', ""))
+    return fanout.fanout_alerts(alerts.notification_rows(history, updated))
+
+
+@query("fanout_alerts_published", """
+SELECT client_id, 'alerts' AS channel, '{"client_id":"' || client_id || '","alert":{"type":"alert","alert_id":"' || id || '","alert_name":"' || name
+       || '","severity":"' || severity || '","message":"' || message || '","context":' || """ + CONTEXT + """
+       || ',"triggered_at":"2024-01-31T00:00:00+00:00","timestamp":"2024-01-31T00:00:00+00:00"}}' AS message
+FROM fired WHERE websocket""", ("agg", "rules", "valued", "met", "decided", "fired"))
+def fanout_alerts_published(spark, sf):
+    events = adapter.events(spark, sf)
+    decided = alerts.evaluate_rules(adapter.rules(spark, sf), rollups.rollup_backfill(events, AS_OF), events, AS_OF)
+    history, updated = alerts.fire_rules(decided, AS_OF)
+    return fanout.fanout_alerts(alerts.notification_rows(history, updated), delivered=False)
+
+
+@query("fanout_metrics_published", """
+SELECT client_id, 'metrics' AS channel, '{"client_id":"' || client_id || '","metric":"' || metric_name || '","value":' || value || ',"metadata":{}}'
+       AS message FROM agg""", ("agg",))
+def fanout_metrics_published(spark, sf):
+    return fanout.fanout_metrics(rollups.rollup_backfill(adapter.events(spark, sf), AS_OF), delivered=False)
+
+
+@query("fanout_notices_published", EACH + """
+SELECT client_id, 'rate_limit' AS channel, '{"client_id":"' || client_id || '","limit":' || "limit" || ',"reset_at":' || reset_at || '}'
+       AS message FROM admitted WHERE NOT allowed""", recursive=True)
+def fanout_notices_published(spark, sf):
+    return fanout.fanout_notices(limit_notices(spark, sf), delivered=False)
 
 
 @query("fanout_notices", EACH + """
@@ -255,8 +285,7 @@ def subscription_state(spark, sf):
 @query("route", SUBSCRIBED + """
 SELECT connection_id, client_id, channel, id AS event_id FROM ev JOIN subscribed USING (client_id) WHERE channel = 'events'""")
 def route(spark, sf):
-    event_id = F.get_json_object("message", "$.event.id").alias("event_id")
-    messages = fanout.fanout_events(adapter.events(spark, sf)).select("client_id", "channel", event_id)
+    messages = adapter.events(spark, sf).select("client_id", F.lit("events").alias("channel"), F.col("id").alias("event_id"))
     return fanout.route_messages(messages, subscription_state(spark, sf))
 
 

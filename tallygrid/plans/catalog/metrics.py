@@ -188,6 +188,19 @@ def key_usage(spark, sf):
     return metrics.key_usage(adapter.events(spark, sf), adapter.registry(spark, sf), "2024-01-30")
 
 
+@query("key_usage_kept", f"""
+SELECT reg.id, client_name, rate_limit,
+       count(*) FILTER (received_at >= {T} - INTERVAL 1 DAY AND received_at < {T}) AS requests_today,
+       max(received_at) AS last_used
+FROM reg LEFT JOIN ev ON ev.client_id = reg.id GROUP BY ALL""")
+def key_usage_kept(spark, sf):
+    """The same figures with a last-seen table kept up over two loads."""
+    events = adapter.events(spark, sf)
+    early = F.col("received_at") < F.to_timestamp(F.lit("2024-01-15"))
+    seen = metrics.last_seen(events.filter(~early), metrics.last_seen(events.filter(early)))
+    return metrics.key_usage(events, adapter.registry(spark, sf), "2024-01-30", seen)
+
+
 @query("dashboard_bundle", TOP_SQL.format(where=DAY, n=5) + BREAKDOWN_SQL.format(where=DAY, n=6).replace(
     "counted AS", "label_counts AS").replace("ranked AS", "label_ranks AS").replace("top AS", "labels AS").replace(
     "FROM counted", "FROM label_counts").replace("FROM ranked", "FROM label_ranks") + f"""

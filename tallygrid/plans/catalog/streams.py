@@ -23,9 +23,9 @@ EVENT_DDL = (
 )
 
 
-def feed(spark: SparkSession, sf: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+def feed(spark: SparkSession, sf: str, run: Callable[[DataFrame], StreamingQuery], path: str | None = None) -> None:
     """Three arrivals of events in time order; after each the job is resumed and drained."""
-    path = new_run_dir(spark, "arrivals")
+    path = path or new_run_dir(spark, "arrivals")
     events = adapter.events(spark, sf)
     first, second = (literal_time(cut) for cut in CUTS)
     time = F.col("event_time")
@@ -152,12 +152,9 @@ def stream_admit_wrong_clock(spark, sf):
 SELECT connection_id, client_id, channel, id AS event_id FROM ev JOIN subscribed USING (client_id) WHERE channel = 'events'""")
 def stream_fanout(spark, sf):
     path, checkpoint = _dirs(spark, "feed", "checkpoint")
-    subscriptions = subscription_state(spark, sf)
-    feed(spark, sf, lambda events: jobs.stream_fanout(events, subscriptions, path, checkpoint))
-    columns = "connection_id STRING, client_id STRING, message STRING, batch INT, channel STRING"
-    return spark.read.schema(columns).parquet(path).select(
-        "connection_id", "client_id", "channel", F.get_json_object("message", "$.data.id").alias("event_id")
-    )
+    feed(spark, sf, lambda events: jobs.stream_fanout(events, path, checkpoint))
+    read = jobs.read_feed(spark, path, subscription_state(spark, sf))
+    return read.select("connection_id", "client_id", "channel", F.col("id").alias("event_id"))
 
 
 @query("stream_tail", """
@@ -169,14 +166,43 @@ def stream_tail(spark, sf):
     return jobs.read_state(spark, path)
 
 
-@query("stream_alerts")
+ALERTED = f"""
+, hourly AS (SELECT client_id, date_trunc('hour', event_time) AS s, count(*) AS c, count(DISTINCT user_id) AS users,
+             count(*) FILTER (event_time >= date_trunc('hour', event_time) + INTERVAL 59 MINUTE) AS last_minute FROM ev GROUP BY ALL),
+closed AS (SELECT client_id, s, round(c / 60.0::DOUBLE, 2) * 60 AS value FROM hourly WHERE s + INTERVAL 1 HOUR <= {CLOSED}),
+moments AS (SELECT t, row_number() OVER (ORDER BY t) AS n FROM (SELECT DISTINCT s + INTERVAL 1 HOUR AS t FROM closed)),
+asked AS (SELECT rules.*, n, t, CASE "window" WHEN '5m' THEN INTERVAL 10 MINUTE WHEN '1h' THEN INTERVAL 2 HOUR ELSE INTERVAL 2 MINUTE END AS reach
+          FROM rules JOIN act USING (client_id), moments WHERE enabled),
+met AS (
+    SELECT a.id, a.client_id, severity, cooldown_seconds, last_triggered, n, t,
+           CASE WHEN metric = 'events_per_hour' AND c.s >= t - reach THEN c.value WHEN metric = 'events_per_minute' THEN coalesce(last_minute, 0)::DOUBLE
+                WHEN metric = 'active_users_1h' THEN coalesce(users, 0)::DOUBLE ELSE 0.0::DOUBLE END AS v,
+           CASE operator WHEN '>' THEN v > threshold WHEN '<' THEN v < threshold WHEN '>=' THEN v >= threshold WHEN '<=' THEN v <= threshold
+                WHEN '==' THEN abs(v - threshold) < 0.01 WHEN '!=' THEN abs(v - threshold) >= 0.01 ELSE false END AS met
+    FROM asked a ASOF LEFT JOIN closed c ON a.client_id = c.client_id AND a.t > c.s
+    LEFT JOIN hourly h ON h.client_id = a.client_id AND h.s = a.t - INTERVAL 1 HOUR),
+walk AS (
+    SELECT id, client_id, severity, n, t, met AND coalesce(date_diff('second', last_triggered, t) >= cooldown_seconds, true) AS fires,
+           CASE WHEN met AND coalesce(date_diff('second', last_triggered, t) >= cooldown_seconds, true) THEN t ELSE last_triggered END AS last
+    FROM met WHERE n = 1
+    UNION ALL
+    SELECT m.id, m.client_id, m.severity, m.n, m.t, m.met AND coalesce(date_diff('second', w.last, m.t) >= m.cooldown_seconds, true),
+           CASE WHEN m.met AND coalesce(date_diff('second', w.last, m.t) >= m.cooldown_seconds, true) THEN m.t ELSE w.last END
+    FROM walk w JOIN met m ON m.id = w.id AND m.n = w.n + 1)
+SELECT id AS alert_id, client_id, severity, count(*) AS firings, max(t) AS last_triggered FROM walk WHERE fires GROUP BY ALL"""
+
+
+@query("stream_alerts", ALERTED, ("rules", "act"), recursive=True)
 def stream_alerts(spark, sf):
-    rules, table, history, sent, checkpoint = _dirs(spark, "rules", "aggregates", "history", "sent", "checkpoint")
+    rules, table, history, sent, checkpoint, arrivals = _dirs(spark, "rules", "aggregates", "history", "sent", "checkpoint", "arrivals")
     jobs.seed_state(adapter.rules(spark, sf), rules)
     registry = adapter.registry(spark, sf)
-    feed(spark, sf, lambda events: jobs.stream_alerts(
-        jobs.stream_rollup(events, 60), registry, rules, table, history, sent, checkpoint
-    ))
+
+    def run(events: DataFrame) -> StreamingQuery:
+        here = spark.read.schema(EVENT_DDL).parquet(arrivals)
+        return jobs.stream_alerts(jobs.stream_rollup(events, 60), registry, rules, table, history, sent, checkpoint, events=here)
+
+    feed(spark, sf, run, arrivals)
     fired = spark.read.parquet(history)
     return fired.groupBy("alert_id", "client_id", "severity").agg(
         F.count("*").alias("firings"), F.max("triggered_at").alias("last_triggered")

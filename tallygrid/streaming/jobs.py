@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallygrid.fixed_values import LIVE_TAIL_SIZE, RATE_WINDOW_SECONDS
 from tallygrid.functions.times import at
 from tallygrid.operators import alerts, fanout, ingest, ratelimit
-from tallygrid.operators.filters import known_users, top_per_group
+from tallygrid.operators.filters import known_users, newest_per_group
 from tallygrid.sources import storage
 from tallygrid.sources.readers import read_aggregates
 
@@ -188,26 +188,31 @@ def stream_alerts(
     history_path: str,
     notifications_path: str,
     checkpoint: str,
+    events: DataFrame | None = None,
     **options,
 ) -> StreamingQuery:
-    """Fold metric rows into the series, then decide all rules as of the newest closed window.
+    """Fold metric rows into the series, then decide all rules at each window end that closed, in order.
 
     ``rules_path`` is a state table (see ``seed_state``) that carries last_triggered and
-    trigger_count from batch to batch.
+    trigger_count from batch to batch. ``events`` (a table) stands in for metrics that are not stored. How windows are
+    cut into micro-batches makes no difference.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with storage.staged(batch, "metric-rows") as rows_in:
-            newest = rows_in.agg(F.unix_micros(F.max("interval_end")).alias("micros")).first()["micros"]
-            if newest is None:
+            ends = rows_in.select(F.unix_micros("interval_end").alias("micros")).distinct().collect()
+            if not ends:
                 return
             storage.merge_aggregates(spark, aggregates_path, rows_in)
-        as_of = at("1970-01-01") + timedelta(microseconds=newest)
-        due, idle = alerts.split_due_rules(_state_before(spark, rules_path, batch_id), registry)
-        decided = alerts.evaluate_rules(due, read_aggregates(spark, aggregates_path), None, as_of)
+        moments = [at("1970-01-01") + timedelta(microseconds=row["micros"]) for row in ends]
+        rules = _state_before(spark, rules_path, batch_id)
+        if rules is None:
+            raise ValueError(f"{rules_path} holds no rules that batch {batch_id} may see: seed it, one state table per checkpoint")
+        due, idle = alerts.split_due_rules(rules, registry)
+        decided = alerts.evaluate_windows(due, read_aggregates(spark, aggregates_path), events, moments)
         with storage.staged(decided, "decisions") as decisions:
-            history, updated = alerts.fire_rules(decisions, as_of)
+            history, updated = alerts.fire_windows(decisions)
             notifications = alerts.notification_rows(history, updated)
             _replace_folder(alerts.mark_notified(history, notifications), history_path, "batch", batch_id)
             _replace_folder(notifications, notifications_path, "batch", batch_id)
@@ -257,17 +262,24 @@ def stream_admit(
 # --- live feed --------------------------------------------------------------------------
 
 
-def stream_fanout(
-    events: DataFrame, subscriptions: DataFrame, feed_path: str, checkpoint: str, **options
-) -> StreamingQuery:
-    """Deliverable messages per connection, in folders by batch and channel."""
-    routed = fanout.route_messages(fanout.fanout_events(events, delivered=True), subscriptions)
+def stream_fanout(events: DataFrame, feed_path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Deliverable messages, each stored once, in folders by batch and channel.
+
+    A connection's feed is resolved when it is read (``read_feed``), so storage does not grow with connections.
+    """
+    messages = fanout.fanout_events(events, delivered=True, keep=("id",))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.withColumn("batch", F.lit(batch_id)).sortWithinPartitions("channel", "client_id")
         storage.overwrite_partitions(numbered, feed_path, "batch", "channel")
 
-    return start(routed, handle, checkpoint, **options)
+    return start(messages, handle, checkpoint, **options)
+
+
+def read_feed(spark: SparkSession, feed_path: str, subscriptions: DataFrame) -> DataFrame:
+    """The stored messages of the given subscriptions' connections: connection_id, client_id, id, message, batch, channel."""
+    columns = "client_id STRING, message STRING, id STRING, batch INT, channel STRING"
+    return fanout.route_messages(spark.read.schema(columns).parquet(feed_path), subscriptions)
 
 
 def stream_tail(
@@ -284,7 +296,7 @@ def stream_tail(
                 rows = rows.unionByName(before.drop("position", "total"))
                 earlier = before.groupBy("client_id").agg(F.max("total").alias("total"))
                 totals = totals.unionByName(earlier).groupBy("client_id").agg(F.sum("total").alias("total"))
-            newest = top_per_group(rows, ["client_id"], [F.desc("received_at"), F.desc("id")], n, "position")
+            newest = newest_per_group(rows, ["client_id"], "received_at", ["id"], n, "position")
             _state_after(newest.join(totals, "client_id"), tail_path, batch_id)
 
     return start(events, handle, checkpoint, **options)

@@ -7,7 +7,7 @@ from tallygrid.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 # answered by rows only: no SQL states them, other tests cover them
-WITHOUT_SQL = {"stream_admit_distinct_second", "stream_alerts"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")

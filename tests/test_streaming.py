@@ -96,10 +96,11 @@ def test_repeated_batch_replaces_its_output(spark, make_events, registry):
     subs = spark.createDataFrame([("1", "a", "events"), ("2", "b", "events")], "connection_id string, client_id string, channel string")
     for _ in range(2):
         jobs.stream_tail(event_stream(spark, source), tail, new_run_dir(spark, "check"), 3).awaitTermination()
-        jobs.stream_fanout(event_stream(spark, source), subs, feed, new_run_dir(spark, "check")).awaitTermination()
+        jobs.stream_fanout(event_stream(spark, source), feed, new_run_dir(spark, "check")).awaitTermination()
         rows = jobs.read_state(spark, tail).orderBy("position").collect()
         assert [(r["id"], r["total"]) for r in rows] == [("4", 5), ("3", 5), ("2", 5)]
-        assert spark.read.parquet(feed).count() == 5
+        read = jobs.read_feed(spark, feed, subs)
+        assert read.count() == 5 and {r["connection_id"] for r in read.collect()} == {"1"}
 
 
 def test_ingest_in_small_batches_and_repeated(spark, registry):
@@ -148,3 +149,18 @@ def test_one_clock_does_not_reset_other_keys(spark):
     allowed = {r["seq"]: r["allowed"] for r in spark.read.parquet(decisions).collect()}
     assert allowed == {1: True, 2: True, 3: True, 4: False, 5: False, 7: True}
     assert sorted(r["seq"] for r in spark.read.parquet(f"{decisions}-late").collect()) == [6, 8]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_alerts_do_not_depend_on_micro_batches(spark, make_events, registry, parts):
+    source, rules, table, history, sent, checkpoint = dirs(spark, "in", "rules", "agg", "history", "sent", "check")
+    jobs.seed_state(spark.createDataFrame([rule("r", metric="events_per_minute", op=">=", threshold=1.0, cooldown=120),
+                                           rule("live", metric="active_users_1h", op="<", threshold=1.0, cooldown=0)], RULES), rules)
+    events = [("a", "u", "x", f"2024-01-01 10:0{minute}:30") for minute in range(6)]
+    for i in range(parts):
+        arrive(make_events(events[i * 6 // parts : (i + 1) * 6 // parts]), source)
+        stream = jobs.stream_rollup(event_stream(spark, source), lateness="0 seconds")
+        seen = spark.read.schema(EVENT_DDL).parquet(source)
+        jobs.stream_alerts(stream, registry, rules, table, history, sent, checkpoint, events=seen).awaitTermination()
+    fired = sorted((r["alert_id"], r["triggered_at"].isoformat()[11:16]) for r in spark.read.parquet(history).collect())
+    assert fired == [("r", "10:01"), ("r", "10:03"), ("r", "10:05")]
