@@ -87,7 +87,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9]", lambda v: _length_between(13, 19)(v) & luhn(v), 0.8,
          "card|visa|mastercard|payment|karte|tarjeta|carte", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", _length_between(9, 15), 0.7, "call|phone|tel|mobile|fax|whatsapp", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, 0.8, "iban|account|konto|cuenta|compte"),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", "[A-Z]{2}[0-9]{2}", mod97, 0.8, "iban|account|konto|cuenta|compte"),
     Kind("national_id", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]",
          lambda v: F.lit(True), 0.4, "ssn|social security|insurance|national"),
     Kind("secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])", "[A-Fa-f0-9]{32}", lambda v: F.lit(True), 0.4, "token|secret|key|passw|credential|auth"),

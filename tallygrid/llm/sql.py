@@ -58,4 +58,56 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length('<|turn|>' || '<|says|>' || '<|end|>')
            + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    "op6_pii": rf"""
+WITH kinds(place, kind, pattern, whole, needs) AS (VALUES
+    (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '.*', '@'), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', '.*', '[0-9]\.[0-9]'),
+    (3, 'card', '[0-9](?:[ -]?[0-9])+', '.*', '[0-9]'), (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]', '.*', '\+'),
+    (5, 'iban', '\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}\b', '.*', '[A-Z]{{2}}[0-9]{{2}}'),
+    -- runs between which the pattern cannot match: one matches as a whole or not at all
+    (6, 'national_id', '[0-9-]+', '[0-8][0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}', '[0-9]-[0-9]{{2}}-[0-9]'), (7, 'secret', '[A-Za-z0-9]+', '[A-Fa-f0-9]{{32,64}}', '[A-Fa-f0-9]{{32}}')),
+numbered AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT rn, t, place, kind, whole, regexp_extract_all(t, pattern) AS found, string_split_regex(t, pattern) AS pieces FROM numbered, kinds
+        WHERE regexp_matches(t, needs)),
+each AS (
+    SELECT rn, t, place, kind, whole, found[i] AS v,
+           (list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0))::BIGINT AS s
+    FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM cut)),
+matched AS (
+    SELECT *, s + length(v) AS e, coalesce(lag(s + length(v)) OVER w, 0) AS before, coalesce(lead(s) OVER w, length(t)) AS after,
+           regexp_replace(v, '[^0-9]', '', 'g') AS digits, upper(regexp_replace(v, '[^A-Za-z0-9]', '', 'g')) AS plain
+    FROM each WHERE regexp_full_match(v, whole) AND NOT (kind = 'national_id' AND regexp_matches(v, '^000|^666|-00-|-0000$'))
+    WINDOW w AS (PARTITION BY rn, kind ORDER BY s)),
+passed AS (
+    SELECT rn, place, kind, s, e FROM matched
+    WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+        WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR TRY_CAST(right('000' || p, 3) AS INTEGER) > 255)) = 0
+        WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+            CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INTEGER) ELSE CAST(reverse(digits)[i] AS INTEGER) * 2 % 10 + CAST(reverse(digits)[i] AS INTEGER) * 2 // 10 END)) % 10 = 0
+        WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(plain[5:] || plain[1:4], ''), lambda c:
+            CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+        ELSE regexp_matches(lower(substr(t, greatest(before, s - 40) + 1, s - greatest(before, s - 40)) || ' ' || substr(t, e + 1, least(20, after - e))),
+            CASE kind WHEN 'secret' THEN 'token|secret|key|passw|credential|auth' ELSE 'ssn|social security|insurance|national' END) END),
+summed AS (
+    SELECT rn, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "iban", "national_id", "secret"))},
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY place, s) FILTER (place <= 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY place, s) AS spans
+    FROM passed GROUP BY rn)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("email", "ip", "card", "phone", "iban", "national_id", "secret"))},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM numbered LEFT JOIN summed USING (rn)""",
+    "op8_chosen_path": f"""
+WITH RECURSIVE worded AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+shingled AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS shingles
+    FROM worded WHERE len(ws) > 0),
+keyed AS (SELECT doc_id, md5(array_to_string(shingles, chr(10))) AS sid, shingles FROM shingled),
+nodes AS (SELECT sid, count(*) AS copies, min(doc_id) AS first_id, any_value(shingles) AS shingles, len(any_value(shingles)) AS n FROM keyed GROUP BY sid),
+parts AS (SELECT sid, n, unnest(shingles) AS shingle FROM nodes),
+links AS (SELECT a.sid AS a, b.sid AS b FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.sid <> b.sid
+          GROUP BY a.sid, b.sid, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+reached AS (SELECT sid AS a, sid AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+classes AS (SELECT r.a AS sid, min(first_id) AS class_id, sum(copies)::BIGINT AS class_size FROM reached r JOIN nodes n ON n.sid = r.b GROUP BY r.a),
+counted AS (SELECT nodes.sid, (copies - 1 + coalesce((SELECT sum(o.copies) FROM links JOIN nodes o ON o.sid = links.b WHERE links.a = nodes.sid), 0))::BIGINT AS n_links FROM nodes)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(class_size, 1) AS class_size
+FROM documents d LEFT JOIN keyed k USING (doc_id) LEFT JOIN classes USING (sid) LEFT JOIN counted USING (sid)""",
 }
