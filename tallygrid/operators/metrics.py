@@ -165,10 +165,10 @@ def breakdowns(
     rows = browse_filter(in_window(df, start, end), event_name=event_name)
     fields = [f"label_{i}" for i in range(len(props))]
     parsed = rows.select("client_id", "user_id", F.json_tuple("properties", *props).alias(*fields))
-    pairs = ", ".join(f"'{prop}', {field}" for prop, field in zip(props, fields))
-    labelled = parsed.selectExpr(
-        "client_id", "user_id", f"stack({len(props)}, {pairs}) AS (property, label)"
-    ).filter(F.col("label").isNotNull())
+    pairs = [column for prop, field in zip(props, fields) for column in (F.lit(prop), F.col(field))]
+    labelled = parsed.select("client_id", "user_id", F.stack(F.lit(len(props)), *pairs).alias("property", "label")).filter(
+        F.col("label").isNotNull()
+    )
     counted = labelled.groupBy("client_id", "property", "label").agg(
         F.count("*").alias("count"), F.count_distinct("user_id").alias("users")
     )

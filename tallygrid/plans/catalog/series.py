@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrid.operators import rollups, series
+from tallygrid.plans import tick
 from tallygrid.plans.catalog.common import AS_OF, query
 from tallygrid.session import new_run_dir
 from tallygrid.sources import adapter, exports, readers, storage
@@ -167,6 +168,29 @@ def merge_aggregates(spark, sf):
     return readers.read_aggregates(spark, path).select("client_id", "metric_name", "interval_start", "value")
 
 
+@query("prune_aggregate_table", f"SELECT client_id, metric_name, interval_start, value FROM agg WHERE interval_start >= {T} - INTERVAL 252 HOUR", ("agg",))
+def prune_aggregate_table(spark, sf):
+    path = new_run_dir(spark, "aggregates")
+    storage.write_aggregates(stored(spark, sf), path)
+    # noon, so that the day of the cut-off is rewritten in part
+    storage.prune_aggregate_table(spark, path, "2024-01-30 12:00:00", days=10)
+    return readers.read_aggregates(spark, path).select("client_id", "metric_name", "interval_start", "value")
+
+
+@query("run_rollups", HOUR_SQL + f"""
+, last AS (SELECT act.client_id, count(id) AS n, count(DISTINCT user_id) AS users
+           FROM act LEFT JOIN ev ON ev.client_id = act.client_id AND event_time >= {T} - INTERVAL 1 MINUTE AND event_time < {T} GROUP BY ALL)
+SELECT client_id, metric_name, interval_start, value FROM rolled
+UNION ALL SELECT client_id, 'events_per_minute', {T} - INTERVAL 1 MINUTE, n::DOUBLE FROM last
+UNION ALL SELECT client_id, 'active_users_1m', {T} - INTERVAL 1 MINUTE, users::DOUBLE FROM last""", ("act",))
+def run_rollups(spark, sf):
+    """A scheduled tick that ran twice over the same horizon."""
+    path = new_run_dir(spark, "aggregates")
+    for _ in range(2):
+        tick.run_rollups(spark, adapter.events(spark, sf), adapter.registry(spark, sf), path, AS_OF, minutes=1, hours=MONTH_HOURS)
+    return readers.read_aggregates(spark, path).select("client_id", "metric_name", "interval_start", "value")
+
+
 @query("prune_event_table", f"""SELECT *, CAST(event_time AS DATE) AS event_date,
        CASE WHEN event_name = 'view' THEN 'views' ELSE 'others' END AS load_id FROM ev WHERE event_time >= {T} - INTERVAL 252 HOUR""")
 def prune_event_table(spark, sf):

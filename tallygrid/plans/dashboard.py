@@ -22,14 +22,15 @@ def dashboard_bundle(
     as_of: Instant,
     props: Sequence[str] = DASHBOARD_PROPERTIES,
     allowed: Sequence[str] | None = None,
+    registry: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows (client_id, panel, position, label, value, users, percentage).
+    """Rows (client_id, panel, position, label, value, users, percentage); given the registry, idle tenants too.
 
     Panels: ``overview`` (four figures), ``top_events``, ``series`` in the granularity that fits
     the period, and one panel per property (six values each, all from a single scan).
     """
     start, end = window_bounds(period, as_of, OVERVIEW_PERIODS)
-    head = overview(events, period, as_of=as_of)
+    head = overview(events, period, as_of=as_of, registry=registry)
     none_long, none_double = F.lit(None).cast("bigint"), F.lit(None).cast("double")
 
     figures = head.select(
@@ -54,7 +55,7 @@ def dashboard_bundle(
         none_long.alias("users"), F.col("event.percentage").alias("percentage"),
     )
 
-    points = time_series(aggregates, SERIES_FOR_PERIOD[period], end, start).select(
+    points = time_series(aggregates, SERIES_FOR_PERIOD[period], end, start, ordered=False).select(
         "client_id", F.lit("series").alias("panel"), F.lit(None).cast("int").alias("position"),
         F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("label"), F.coalesce("value", F.lit(0.0)).alias("value"),
         none_long.alias("users"), none_double.alias("percentage"),

@@ -15,7 +15,8 @@ from tallygrid.operators.alerts import (
     split_due_rules,
 )
 from tallygrid.operators.rollups import rollup_hour, rollup_minute
-from tallygrid.sources.storage import merge_aggregates, written_copy
+from tallygrid.session import new_run_dir
+from tallygrid.sources.storage import delete_folder, merge_aggregates
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,11 @@ class AlertRun:
     history: DataFrame
     notifications: DataFrame
     rules: DataFrame
+    written: str
+
+    def discard(self) -> None:
+        """Remove the written decisions, once the four results have been stored."""
+        delete_folder(self.rules.sparkSession, self.written)
 
 
 def run_rollups(
@@ -50,12 +56,16 @@ def run_alerts(
 ) -> AlertRun:
     """Decide every due rule once and derive history, notifications and the new rule table.
 
-    The decisions are written out first, so the four results come from one evaluation.
+    The decisions are written out first, so the four results come from one evaluation; ``discard`` removes
+    them afterwards.
     """
+    spark = rules.sparkSession
     due, idle = split_due_rules(rules, registry)
-    decisions = written_copy(evaluate_rules(due, aggregates, events, as_of), "decisions")
+    decided, written = evaluate_rules(due, aggregates, events, as_of), new_run_dir(spark, "decisions")
+    decided.write.parquet(written)
+    decisions = spark.read.schema(decided.schema).parquet(written)
     history, updated = fire_rules(decisions, as_of)
     notifications = notification_rows(history, updated)
     return AlertRun(
-        decisions, mark_notified(history, notifications), notifications, updated.unionByName(idle)
+        decisions, mark_notified(history, notifications), notifications, updated.unionByName(idle), written
     )

@@ -20,17 +20,9 @@ from tallygrid.session import new_run_dir
 from tallygrid.sources.readers import read_aggregates, read_stored_events
 
 
-def written_copy(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = new_run_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
-    """``written_copy`` for the length of a block; the copy is removed when the work is done."""
+    """``df`` written once to the shared folder and read back, for the length of a block: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = new_run_dir(spark, label)
     df.write.parquet(path)
