@@ -124,11 +124,10 @@ def test_ingest_in_small_batches_and_repeated(spark, registry):
 def test_two_ingest_jobs_share_a_table(spark, registry):
     keyed = registry.withColumn("key_hash", __import__("pyspark").sql.functions.sha2("id", 256))
     table, quarantine = dirs(spark, "events", "quarantine")
-    checkpoints = dirs(spark, "check", "check")
-    for names, checkpoint in ((("x", "y"), checkpoints[0]), (("z", ""), checkpoints[1]), (("w",), checkpoints[0])):
-        source = new_run_dir(spark, "in")
+    one, other = dirs(spark, "in", "check"), dirs(spark, "in", "check")
+    for names, (source, checkpoint) in ((("x", "y"), one), (("z", ""), other), (("w",), one)):
         lines = [(json.dumps({"api_key": "a", "event_name": n}),) for n in names]
-        spark.createDataFrame(lines, "value string").coalesce(1).write.text(source)
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(source)
         jobs.stream_ingest(readers.read_lines(spark, source, True), keyed, table, quarantine, checkpoint).awaitTermination()
     stored = readers.read_stored_events(spark, table).collect()
     assert sorted(r["event_name"] for r in stored) == ["w", "x", "y", "z"]
