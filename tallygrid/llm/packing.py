@@ -173,6 +173,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group_t
                         yield packed()
         if group:
             yield packed()
+        words.clear()  # the worker goes on to other tasks
 
     ddl = ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'long'}" for f in schema)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ddl)
