@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallygrid.llm.common import WORD, staged
+from tallygrid.llm.common import WORD, split_by_filter, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -288,7 +288,8 @@ def confirm(rows: DataFrame, least: int, similarity: float, coordinates: int = C
 
 def token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``sid`` and ``tokens`` of the wanted sets (``doc_id``, ``sid``, ``sketch``, ``copies``), from their documents' whole texts."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = split_by_filter(texts, wanted.select("doc_id"), "doc_id")[0].join(wanted, "doc_id")
     schema = pa.schema([("sid", pa.int64()), ("sketch", pa.binary()), ("copies", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
@@ -351,6 +352,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     classes = staged(join(docs, similarity, id_col=id_col, text_col=text_col), "classes")
     dropped = classes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
     repeated = classes.where((F.col("class_id") == F.col("doc_id")) & (F.col("class_size") > 1)).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    kept = docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
+    # only rows that may be meant travel to an exact join; the others stay where they are
+    meant, others = split_by_filter(docs, staged(dropped.unionByName(repeated.withColumnRenamed("_twice", "_gone")), "meant"), id_col)
+    kept = meant.join(dropped, meant[id_col] == F.col("_gone"), "left_anti")
     once = kept.join(repeated, kept[id_col] == F.col("_twice"), "left_anti")
-    return once.unionByName(kept.join(repeated, kept[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col]))
+    twice = kept.join(repeated, kept[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col])
+    return others.unionByName(once).unionByName(twice)

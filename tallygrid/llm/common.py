@@ -79,3 +79,26 @@ def by_batch(function: Callable[[dict[str, list]], dict[str, list]], schema: pa.
 def fold(id_col: str, folds: int) -> Column:
     """CRC-32 of the id as text, modulo ``folds``; a null id is in no fold."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+#: bits of the filter below, whatever the number of ids: 256 rows of 4 kB are sent to the tasks
+FILTER_BITS = 1 << 23
+_BITMAP = 32_768  # positions in one value of bitmap_construct_agg
+
+
+def split_by_filter(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be among ``ids``, rows whose id surely is not), by a bitmap of hashed ids.
+
+    Rows of the second kind need no join and so no shuffle. The bitmap has a fixed size: with very many ids
+    it fills up and more rows are of the first kind, which an exact join must follow anyway.
+    """
+    columns = rows.columns
+    place = lambda column: F.pmod(F.xxhash64(column.cast("long")), F.lit(FILTER_BITS))
+    placed = ids.select(place(F.col(ids.columns[0])).alias("_at"))
+    bitmap = placed.groupBy(F.floor(F.col("_at") / _BITMAP).alias("_part")).agg(F.bitmap_construct_agg(F.col("_at") % _BITMAP).alias("_bits"))
+    marked = rows.withColumn("_at", place(F.col(id_col))).withColumn("_part", F.floor(F.col("_at") / _BITMAP))
+    marked = marked.join(F.broadcast(bitmap), "_part", "left").withColumn("_at", (F.col("_at") % _BITMAP).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    marked = marked.withColumn("_held", F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("_at") % 8).cast("int")) != 0, F.lit(False)))
+    back = [F.col(f"`{c}`") for c in columns]
+    return marked.where("_held").select(*back), marked.where("NOT _held").select(*back)
