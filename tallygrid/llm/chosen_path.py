@@ -287,23 +287,26 @@ def confirm(rows: DataFrame, least: int, similarity: float, coordinates: int = C
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``sid`` and ``tokens`` of the wanted sets (``doc_id``, ``sid``, ``sketch``, ``copies``), from their documents' whole texts."""
+    """``sid`` and ``tokens`` of the wanted sets (``doc_id``, ``sid``, ``sketch``, ``copies``), from their documents' whole texts.
+    Ids may repeat with other texts: a row meets a wanted set only if both its id and its set are that one's."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = split_by_filter(texts, wanted.select("doc_id"), "doc_id")[0].join(wanted, "doc_id")
-    schema = pa.schema([("sid", pa.int64()), ("sketch", pa.binary()), ("copies", pa.int64()), ("tokens", pa.binary())])
+    texts = split_by_filter(texts, wanted.select("doc_id"), "doc_id")[0]
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
         seen = WordHashes()
         for batch in batches:
             made = {name: [] for name in schema.names}
-            for text, sid, sketch, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "sid", "sketch", "copies"))):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 tokens = shingles(text, seen, size)
-                if len(tokens) and _set_id(tokens) == sid:  # ids may repeat
-                    for name, value in zip(schema.names, (sid, sketch, copies, tokens.astype("<u8").tobytes())):
+                if len(tokens):
+                    for name, value in zip(schema.names, (doc_id, _set_id(tokens), tokens.astype("<u8").tobytes())):
                         made[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
 
-    return texts.mapInArrow(run, "sid long, sketch binary, copies long, tokens binary").dropDuplicates(["sid"])
+    sets = texts.mapInArrow(run, "doc_id long, sid long, tokens binary").withColumn("_pair", F.xxhash64("doc_id", "sid"))
+    sets = split_by_filter(sets, wanted.select(F.xxhash64("doc_id", "sid")), "_pair")[0].drop("_pair").dropDuplicates(["doc_id", "sid"])
+    return sets.join(wanted, ["doc_id", "sid"]).select("sid", "sketch", "copies", "tokens")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -324,9 +327,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, miss: float = TARGET_MISS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``class_id`` (the least id of all documents connected by links), ``n_links`` (other documents at
-    least so similar, copies included) and ``class_size`` of every row."""
+def _classes(docs: DataFrame, similarity: float, size: int, miss: float, block: int, id_col: str, text_col: str) -> DataFrame:
+    """``join`` with ``sid`` and ``first_sid``, the set that the class's least id stands for (the least of its sets in the class)."""
     runs, least = runs_for(similarity, miss), least_agreeing(similarity)
     rows = staged(signatures(docs, id_col, text_col, size), "signatures")
     nodes = staged(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
@@ -339,22 +341,50 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, m
     roots = components(confirmed.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     named = nodes.join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.select("sid", "copies", "doc_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root"))
-    classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = named.join(classes, "root").select("sid", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    classes = named.groupBy("root").agg(F.min(F.struct("doc_id", "sid")).alias("first"), F.sum("copies").alias("class_size"))
+    classes = classes.select("root", F.col("first.doc_id").alias("class_id"), F.col("first.sid").alias("first_sid"), "class_size")
+    known = named.join(classes, "root").select("sid", "class_id", "first_sid", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     return rows.select("doc_id", "sid").join(known, "sid", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "sid", "first_sid",
     )
 
 
+def join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, miss: float = TARGET_MISS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``class_id`` (the least id of all documents connected by links), ``n_links`` (other documents at
+    least so similar, copies included) and ``class_size`` of every row."""
+    return _classes(docs, similarity, size, miss, block, id_col, text_col).drop("sid", "first_sid")
+
+
+def _sid_of(size: int):
+    """A column function: the hash of a text's shingle set, null without a word or an id, as ``signatures`` has it."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        seen = WordHashes()
+        for ids, texts in batches:
+            sets = (shingles(text, seen, size) if doc_id is not None else () for doc_id, text in zip(ids.to_pylist(), texts.to_pylist()))
+            yield pa.array([_set_id(tokens) if len(tokens) else None for tokens in sets], pa.int64())
+
+    return F.arrow_udf(run, "long")
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns as they were, with only the least id of each class; rows without an id, or without a word, stay."""
-    classes = staged(join(docs, similarity, id_col=id_col, text_col=text_col), "classes")
-    dropped = classes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    repeated = classes.where((F.col("class_id") == F.col("doc_id")) & (F.col("class_size") > 1)).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    # only rows that may be meant travel to an exact join; the others stay where they are
-    meant, others = split_by_filter(docs, staged(dropped.unionByName(repeated.withColumnRenamed("_twice", "_gone")), "meant"), id_col)
-    kept = meant.join(dropped, meant[id_col] == F.col("_gone"), "left_anti")
-    once = kept.join(repeated, kept[id_col] == F.col("_twice"), "left_anti")
-    twice = kept.join(repeated, kept[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col])
-    return others.unionByName(once).unionByName(twice)
+    """The documents, all columns as they were, with only one row of each class, of its least id; rows without an id, or
+    without a word, stay. An id may stand for several texts: each row is judged by its id and its own set."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    classes = staged(_classes(docs, similarity, SHINGLE, TARGET_MISS, BLOCK, id_col, text_col).where("class_size > 1"), "classes")
+    is_first = (F.col("doc_id") == F.col("class_id")) & (F.col("sid") == F.col("first_sid"))
+    pairs = classes.groupBy(F.col("doc_id").alias("_id"), F.col("sid").alias("_sid")).agg(F.min(is_first).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    meant = staged(pairs.where("NOT _first OR _rows > 1"), "meant")
+    repeated = meant.where("_first")
+
+    def with_set(rows: DataFrame) -> DataFrame:
+        key = F.col(id_col).cast("long")
+        return rows.withColumn("_id", key).withColumn("_sid", _sid_of(SHINGLE)(key, F.col(text_col)))
+
+    # only rows that may be meant are read again and travel to an exact join; the others stay where they are
+    some, others = split_by_filter(docs, meant.select("_id"), id_col)
+    once = with_set(some).join(meant, ["_id", "_sid"], "left_anti")
+    again = split_by_filter(docs, repeated.select("_id"), id_col)[0]
+    twice = with_set(again).join(repeated, ["_id", "_sid"], "left_semi").dropDuplicates(["_id", "_sid"])
+    return others.unionByName(once.select(*columns)).unionByName(twice.select(*columns))

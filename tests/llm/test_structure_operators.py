@@ -87,6 +87,27 @@ def test_keep_one(llm_spark, documents):
     assert chosen_path.keep_one(documents([])).count() == 0
 
 
+def test_keep_one_when_an_id_has_several_texts(llm_spark, documents):
+    a, b, c = (" ".join(f"{letter}{i}" for i in range(60)) for letter in "abc")
+    rows = [(5, a), (5, b), (3, b + " more"), (7, a + " more"), (2, a[:-30] + " x y z"), (2, c), (2, c), (2, c + " more"), (2, None)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in chosen_path.keep_one(documents(rows[:4])).collect())
+    assert kept == [(3, b + " more"), (5, a)]
+    kept = [(r["doc_id"], r["text"]) for r in chosen_path.keep_one(documents(rows)).collect()]
+    assert len(kept) == 4 and {k for k, _ in kept} == {2, 3}
+    assert sorted((text or "-")[0] for _, text in kept) == ["-", "a", "b", "c"]
+
+
+def test_token_sets_meet_by_id_and_set(llm_spark, documents):
+    texts = [" ".join(f"t{n}w{i}" for i in range(9)) for n in range(6)]
+    docs = documents([(1, t) for t in texts] + [(1, texts[0])] + [(2, texts[1])])
+    wanted = chosen_path.signatures(docs).where("doc_id = 1").dropDuplicates(["sid"]).withColumn("copies", F.lit(1).cast("long"))
+    made = chosen_path.token_sets(docs, wanted, "doc_id", "text", chosen_path.SHINGLE)
+    assert sorted(r["sid"] for r in made.collect()) == sorted(r["sid"] for r in wanted.collect())
+    plan = made._jdf.queryExecution().analyzed().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert join.count("sid#") == 2 and join.count("doc_id#") == 2
+
+
 def test_components_of_a_long_chain(llm_spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101)]
     got = {r["node"]: r["root"] for r in chosen_path.components(llm_spark.createDataFrame(edges, "a long, b long")).collect()}
