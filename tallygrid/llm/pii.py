@@ -2,8 +2,9 @@
 
 Everything is a DataFrame expression. A pattern cuts a text into matches and the pieces between
 them; lengths of both, summed from the left, give the spans. The sums are taken in log2(n) passes over the
-array, so a text with very many matches costs n log n, and each match sees the text before it from
-its own piece, so nothing scans the whole text once per match.
+array, so a text with very many matches costs n log n. The 40 characters before a match and the 20 after it
+are those of the text, other matches included, put together from neighbouring pieces and matches in at most six
+doubling steps, so nothing scans the whole text once per match.
 
 The four base kinds (e-mail, IP, card, phone) are kept whenever their check passes; context only
 changes their score. The added kinds (IBAN, national number, secret) are kept if the score reaches
@@ -118,6 +119,32 @@ def _cut(text: Column, kind: Kind) -> Column:
     )
 
 
+def _doubled(parts: Column, length: int, ahead: bool) -> Column:
+    """What stands before each place of an array of texts, its own text included (``ahead``: from its own text on), up to ``length`` characters.
+    Each text but an outermost one has at least one character, so neighbours at a distance of ``length`` say all."""
+    cut = (lambda t: F.substring(t, 1, length)) if ahead else (lambda t: F.substring(t, -length, length))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.least(F.greatest(F.size(parts), F.lit(2)), F.lit(length)))).cast("int") - 1)
+
+    def double(texts: Column, step: Column) -> Column:
+        shift = F.least(F.pow(F.lit(2), step).cast("int"), F.size(texts))
+        blank = F.array_repeat(F.lit(""), shift)
+        moved = F.concat(F.slice(texts, shift + 1, F.size(texts)), blank) if ahead else F.concat(blank, F.slice(texts, F.lit(1), F.size(texts) - shift))
+        return F.zip_with(texts, moved, lambda own, other: cut(F.concat(own, other) if ahead else F.concat(other, own)))
+
+    return F.aggregate(steps, F.transform(parts, cut), double)
+
+
+def _context(cut: Column) -> tuple[Column, Column]:
+    """The text before and after each match of a cut, as far as context reaches."""
+    pieces, found = cut["pieces"], cut["found"]
+    size = F.size(found)
+    earlier = F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.greatest(size - 1, F.lit(0))))
+    later = F.concat(F.slice(found, F.lit(2), size), F.array(F.lit("")))
+    before = F.zip_with(earlier, F.slice(pieces, F.lit(1), size), lambda match, piece: F.concat(match, piece))
+    after = F.zip_with(F.slice(pieces, F.lit(2), size), later, lambda piece, match: F.concat(piece, match))
+    return _doubled(before, CONTEXT_BEFORE, False), _doubled(after, CONTEXT_AFTER, True)
+
+
 def _score(kind: Kind, before: Column, after: Column) -> Column:
     near = F.lower(F.concat_ws(" ", before, after)).rlike(kind.context)
     return F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
@@ -125,8 +152,7 @@ def _score(kind: Kind, before: Column, after: Column) -> Column:
 
 def _spans(cut: Column, kind: Kind, starts: Column) -> Column:
     """``array<struct<kind, start, end, value, score>>`` of the matches that pass, in order."""
-    before = F.transform(F.slice(cut["pieces"], F.lit(1), F.size(cut["found"])), lambda p: F.right(p, F.lit(CONTEXT_BEFORE)))
-    after = F.transform(F.slice(cut["pieces"], F.lit(2), F.size(cut["found"])), lambda p: F.left(p, F.lit(CONTEXT_AFTER)))
+    before, after = _context(cut)
     each = F.arrays_zip(starts.alias("start"), cut["found"].alias("value"), before.alias("before"), after.alias("after"))
     passed = F.filter(each, lambda m: kind.check(m["value"]))
     spans = F.transform(
@@ -173,9 +199,8 @@ def _shown(kind: Kind) -> Callable[[Column], Column]:
     def shown(m: Column) -> Column:
         confirmed = kind.check(m["value"])
         if not kind.base:
-            near = _score(kind, F.right(m["before"], F.lit(CONTEXT_BEFORE)), F.left(m["after"], F.lit(CONTEXT_AFTER)))
-            confirmed = confirmed & (near >= THRESHOLD)
-        return F.concat(m["before"], F.when(confirmed, f"[{kind.name.upper()}]").otherwise(m["value"]))
+            confirmed = confirmed & (_score(kind, m["before"], m["after"]) >= THRESHOLD)
+        return F.concat(m["piece"], F.when(confirmed, f"[{kind.name.upper()}]").otherwise(m["value"]))
 
     return shown
 
@@ -188,10 +213,11 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KI
     for kind in kinds:
         cut = F.col("_cut")
         frame = frame.withColumn("_cut", _cut(F.coalesce(F.col(text_col), F.lit("")), kind))
-        before = F.slice(cut["pieces"], F.lit(1), F.size(cut["found"]))
-        after = F.slice(cut["pieces"], F.lit(2), F.size(cut["found"]))
-        each = F.arrays_zip(before.alias("before"), cut["found"].alias("value"), after.alias("after"))
-
+        named = [F.slice(cut["pieces"], F.lit(1), F.size(cut["found"])).alias("piece"), cut["found"].alias("value")]
+        if not kind.base:
+            before, after = _context(cut)
+            named += [before.alias("before"), after.alias("after")]
+        each = F.arrays_zip(*named)
         made = F.concat(F.array_join(F.transform(each, _shown(kind)), ""), F.element_at(cut["pieces"], -1))
         frame = frame.withColumn(text_col, F.when(F.size(cut["found"]) > 0, made).otherwise(F.col(text_col))).drop("_cut")
     return frame.select(*[F.col(f"`{c}`") for c in columns])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -199,6 +200,20 @@ def test_added_kinds_need_checks_and_context(llm_spark):
     assert got == {0: (1, 0, 0), 1: (0, 0, 0), 2: (0, 1, 0), 3: (0, 0, 0), 4: (0, 0, 1), 5: (0, 0, 0)}
 
 
+def test_context_is_that_of_the_text(llm_spark, documents):
+    key = "0b96a8c8d79c4a5085c919698889f59b"
+    texts = ["ssn 123-45-6789, 234-56-7890, 345-67-8901, 456-78-9012", f"keys: {key} {key} {key}", "123-45-6789 234-56-7890 ssn", "123-45-6789 é 234-56-7890  ssn", "123-45-6789", "ssn" + " 123-45-6789" * 3_000]
+    found = {r["doc_id"]: r for r in pii.find(documents(list(enumerate(texts)))).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(documents(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        expected = []
+        for kind, pattern, words in (("national_id", r"\d{3}-\d\d-\d{4}", "ssn"), ("secret", "[0-9a-f]{32}", "key")):
+            expected += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if words in text[max(0, m.start() - 40) : m.start()] + " " + text[m.end() : m.end() + 20]]
+        assert [(s["kind"], s["start"], s["end"]) for k in ("national_id", "secret") for s in found[i][k]] == expected
+        assert masked[i].count("[NATIONAL_ID]") + masked[i].count("[SECRET]") == len(expected)
+    assert masked[0].startswith("ssn [NATIONAL_ID], [NATIONAL_ID], [NATIONAL_ID], ") and masked[1] == f"keys: [SECRET] [SECRET] {key}"
+
+
 def test_redaction_leaves_nothing_and_touches_nothing_else(llm_spark, documents):
     docs = documents([(i, t) for i, t in enumerate(HARD)] + [(100, "clean text 12"), (100, "clean text 12")])
     done = pii.redact(docs)
