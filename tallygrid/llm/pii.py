@@ -8,7 +8,8 @@ doubling steps, so nothing scans the whole text once per match.
 
 The four base kinds (e-mail, IP, card, phone) are kept whenever their check passes; context only
 changes their score. The added kinds (IBAN, national number, secret) are kept if the score reaches
-``THRESHOLD``. Spans count code points, the end is exclusive; spans of one kind never overlap, spans of two kinds may.
+``THRESHOLD``. An IBAN may be followed by capitals or numbers that look like more of it: it ends at the last blank, or at
+the end of all, where its check passes, and the search goes on behind it. Spans count code points, the end is exclusive; spans of one kind never overlap, spans of two kinds may.
 
 Java's engine runs repeated groups by recursion and would try a failed run again at each of its
 characters. The patterns therefore take possessive repeats (nothing that follows could use what they
@@ -70,7 +71,9 @@ def _length_between(least: int, most: int) -> Callable[[Column], Column]:
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data. ``needs``: a pattern without which a text has no match (cheap to look for)."""
+    """A kind of personal data. ``needs``: a pattern without which a text has no match (cheap to look for).
+    ``shortest``: if set, ``pattern`` takes only the beginning of a match and its group sees the most that may follow;
+    the match is the longest part, up to a blank or the end, that has so many characters besides blanks and passes ``check``."""
 
     name: str
     pattern: str
@@ -79,6 +82,7 @@ class Kind:
     score: float
     context: str
     base: bool = False
+    shortest: int = 0
 
 
 KINDS = (
@@ -88,7 +92,8 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9]", lambda v: _length_between(13, 19)(v) & luhn(v), 0.8,
          "card|visa|mastercard|payment|karte|tarjeta|carte", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", _length_between(9, 15), 0.7, "call|phone|tel|mobile|fax|whatsapp", True),
-    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", "[A-Z]{2}[0-9]{2}", mod97, 0.8, "iban|account|konto|cuenta|compte"),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9_]))", "[A-Z]{2}[0-9]{2}", mod97, 0.8,
+         "iban|account|konto|cuenta|compte", shortest=15),
     Kind("national_id", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]",
          lambda v: F.lit(True), 0.4, "ssn|social security|insurance|national"),
     Kind("secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])", "[A-Fa-f0-9]{32}", lambda v: F.lit(True), 0.4, "token|secret|key|passw|credential|auth"),
@@ -109,14 +114,68 @@ def running_sums(values: Column) -> Column:
     return F.when(size <= 1, values).otherwise(F.aggregate(steps, values, double))
 
 
-def _cut(text: Column, kind: Kind) -> Column:
-    """``struct<pieces, found>``: the matches of a kind and the pieces around them."""
+def _lengths(pieces: Column, found: Column) -> Column:
+    """For each match, the length of the piece before it and of the match before that."""
+    earlier = F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))))
+    return F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), earlier, lambda piece, match: F.coalesce(F.length(piece), F.lit(0)) + F.length(match))
+
+
+def _with_cut(frame: DataFrame, text: Column, kind: Kind, name: str) -> DataFrame:
+    """The frame with a column ``struct<pieces, found>``: the matches of a kind and the pieces around them."""
     has = text.rlike(kind.needs)
     none = F.array().cast("array<string>")
-    return F.struct(
-        F.when(has, F.split(text, kind.pattern, -1)).otherwise(none).alias("pieces"),
-        F.when(has, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(none).alias("found"),
+    pieces = F.when(has, F.split(text, kind.pattern, -1)).otherwise(none)
+    found = F.when(has, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(none)
+    if not kind.shortest:
+        return frame.withColumn(name, F.struct(pieces.alias("pieces"), found.alias("found")))
+    heads, chosen, segments = F.col(f"{name}_heads"), F.col(f"{name}_chosen"), F.col(f"{name}_segments")
+    rest = F.when(has, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))).otherwise(none)
+    frame = frame.withColumn(f"{name}_heads", F.struct(pieces.alias("pieces"), found.alias("found"), rest.alias("rest")))
+    frame = frame.withColumn(f"{name}_starts", running_sums(_lengths(heads["pieces"], heads["found"])))
+
+    def longest(start: Column, most: Column) -> Column:
+        words = F.split(most, " ")
+        parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+        passed = F.filter(parts, lambda v: (F.length(F.replace(v, F.lit(" "), F.lit(""))) >= kind.shortest) & kind.check(v))
+        return F.struct(start.alias("start"), F.get(passed, F.lit(0)).alias("value"))
+
+    # ``at`` is the place among all beginnings
+    most = F.zip_with(heads["found"], heads["rest"], lambda head, tail: F.concat(head, tail))
+    tried = F.zip_with(F.col(f"{name}_starts"), most, longest)
+    tried = F.transform(tried, lambda m, i: F.struct((i + 1).alias("at"), m["start"].alias("start"), m["value"].alias("value")))
+    frame = frame.withColumn(f"{name}_tried", F.filter(tried, lambda m: m["value"].isNotNull()))
+
+    def add(kept: Column, m: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        free = F.coalesce(m["start"] >= last["start"] + F.length(last["value"]), F.lit(True))
+        return F.when(free, F.concat(kept, F.array(m))).otherwise(kept)
+
+    # those that overlap are rare, and only then the first has to be chosen one by one
+    tried = F.col(f"{name}_tried")
+    overlap = F.exists(
+        F.zip_with(F.slice(tried, F.lit(1), F.greatest(F.size(tried) - 1, F.lit(0))), F.slice(tried, F.lit(2), F.size(tried)), lambda a, b: a["start"] + F.length(a["value"]) > b["start"]),
+        lambda late: late,
+    )
+    no_match = F.array().cast("array<struct<at: int, start: int, value: string>>")
+    frame = frame.withColumn(f"{name}_chosen", F.when(overlap, F.aggregate(tried, no_match, add)).otherwise(tried))
+    # each beginning with the text up to the next one, and where it starts
+    texts = F.zip_with(heads["found"], F.slice(heads["pieces"], F.lit(2), F.size(heads["found"])), lambda head, piece: F.concat(head, piece))
+    frame = frame.withColumn(f"{name}_segments", F.zip_with(F.col(f"{name}_starts"), texts, lambda start, t: F.struct(start.alias("start"), t.alias("text"))))
+
+    def behind(m: Column, then: Column) -> Column:
+        """The text from the end of a chosen match to the next one."""
+        end, until = m["start"] + F.length(m["value"]), F.coalesce(then["at"], F.size(segments) + 1)
+        parts = F.slice(segments, m["at"], until - m["at"])
+        return F.array_join(F.transform(parts, lambda s: F.substring(s["text"], F.greatest(end - s["start"], F.lit(0)) + 1, F.length(s["text"]))), "")
+
+    first = F.concat(F.get(heads["pieces"], F.lit(0)), F.array_join(F.transform(F.slice(segments, F.lit(1), F.get(chosen, F.lit(0))["at"] - 1), lambda s: s["text"]), ""))
+    after = F.zip_with(chosen, F.slice(chosen, F.lit(2), F.size(chosen)), behind)
+    some = F.size(chosen) > 0
+    made = F.struct(
+        F.when(some, F.concat(F.array(first), after)).otherwise(none).alias("pieces"),
+        F.when(some, F.transform(chosen, lambda m: m["value"])).otherwise(none).alias("found"),
     )
+    return frame.withColumn(name, made).drop(*[f"{name}_{part}" for part in ("heads", "starts", "tried", "chosen", "segments")])
 
 
 def _doubled(parts: Column, length: int, ahead: bool) -> Column:
@@ -168,17 +227,10 @@ def _spans(cut: Column, kind: Kind, starts: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``doc_id`` and, for each kind, an array ``<kind>`` of its spans with value and score, in order of start."""
     frame = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    frame = frame.select("doc_id", *[_cut(F.col("_text"), kind).alias(f"_{kind.name}") for kind in kinds])
-    steps = {}
     for kind in kinds:
-        cut = F.col(f"_{kind.name}")
-        lengths = F.zip_with(
-            F.slice(cut["pieces"], F.lit(1), F.size(cut["found"])),
-            F.concat(F.array(F.lit("")), F.slice(cut["found"], F.lit(1), F.greatest(F.size(cut["found"]) - 1, F.lit(0)))),
-            lambda piece, match: F.coalesce(F.length(piece), F.lit(0)) + F.length(match),
-        )
-        steps[f"_{kind.name}_lengths"] = lengths
-    frame = frame.withColumns(steps)
+        frame = _with_cut(frame, F.col("_text"), kind, f"_{kind.name}")
+    cuts = {kind: F.col(f"_{kind.name}") for kind in kinds}
+    frame = frame.drop("_text").withColumns({f"_{kind.name}_lengths": _lengths(cut["pieces"], cut["found"]) for kind, cut in cuts.items()})
     frame = frame.withColumns({f"_{kind.name}_starts": running_sums(F.col(f"_{kind.name}_lengths")) for kind in kinds})
     none = "array<struct<kind: string, start: int, end: int, value: string, score: double>>"
     spans = [
@@ -212,7 +264,7 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KI
     frame = docs
     for kind in kinds:
         cut = F.col("_cut")
-        frame = frame.withColumn("_cut", _cut(F.coalesce(F.col(text_col), F.lit("")), kind))
+        frame = _with_cut(frame, F.coalesce(F.col(text_col), F.lit("")), kind, "_cut")
         named = [F.slice(cut["pieces"], F.lit(1), F.size(cut["found"])).alias("piece"), cut["found"].alias("value")]
         if not kind.base:
             before, after = _context(cut)

@@ -214,6 +214,22 @@ def test_context_is_that_of_the_text(llm_spark, documents):
     assert masked[0].startswith("ssn [NATIONAL_ID], [NATIONAL_ID], [NATIONAL_ID], ") and masked[1] == f"keys: [SECRET] [SECRET] {key}"
 
 
+def test_iban_before_capitals_and_numbers(llm_spark, documents):
+    one, spaced, short, next_one = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68539007547034"
+    cases = [
+        (f"{one} BIC COBADEFFXXX", [one]), (f"é {spaced} COBADEFFXXX", [spaced]), (f"{one} EUR 500.", [one]), (f"{short} {next_one} X", [short, next_one]),
+        (f"REF AB12 {one} EUR {one}", [one, one]), (f"{one}1 EUR", []), (f"{one}x", []), (one[:-1] + "1 EUR 500", []), (one, [one]), (f"AB12 CD34 EF56 GH78 {one} AB12 CD34 EF56 GH78 IJ90", [one]),
+    ]
+    docs = documents([(i, text) for i, (text, _) in enumerate(cases)])
+    found = {r["doc_id"]: r["iban"] for r in pii.find(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs, kinds=tuple(k for k in pii.KINDS if k.name == "iban")).collect()}
+    for i, (text, values) in enumerate(cases):
+        assert [s["value"] for s in found[i]] == values and [text[s["start"] : s["end"]] for s in found[i]] == values, text
+        for value in values:
+            text = text.replace(value, "[IBAN]", 1)
+        assert masked[i] == text
+
+
 def test_redaction_leaves_nothing_and_touches_nothing_else(llm_spark, documents):
     docs = documents([(i, t) for i, t in enumerate(HARD)] + [(100, "clean text 12"), (100, "clean text 12")])
     done = pii.redact(docs)
