@@ -1,8 +1,8 @@
 import os
 import sys
-from datetime import datetime, timezone
 
 import pytest
+from instants import utc
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -16,10 +16,6 @@ def spark():
     session.stop()
 
 
-def utc(text):
-    return datetime.fromisoformat(text).replace(tzinfo=timezone.utc)
-
-
 @pytest.fixture
 def make_events(spark):
     """Events from (client, user, name, time text[, properties]) tuples."""

@@ -3,7 +3,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import utc
+from instants import utc
 from pyspark.sql import functions as F
 
 from tallygrid.operators import alerts

@@ -4,7 +4,7 @@ import json
 import random
 
 import pytest
-from conftest import utc
+from instants import utc
 from pyspark.sql import functions as F
 
 from tallygrid.operators import fanout, ingest

@@ -4,7 +4,7 @@ import json
 from datetime import timedelta
 
 import pytest
-from conftest import utc
+from instants import utc
 from test_alerts import rule
 
 from tallygrid.operators.ratelimit import DISTINCT_SECOND, PER_REQUEST
