@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallygrid.session import configure, new_run_dir
+from tallygrid.sources.storage import delete_folder
 
 # fixed value: what counts as a word in every operator that reads words
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -64,6 +65,30 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one run of an operator writes to the shared folder; ``drop`` removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written once and read back, as ``staged`` does."""
+        path = new_run_dir(self.spark, label)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths.append((table, path))
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        for place, (held, path) in enumerate(self._paths):
+            if held is table:
+                delete_folder(self.spark, path)
+                del self._paths[place]
+                return
+        raise ValueError("not a table of this run, or dropped before")
+
+
 def by_batch(function: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema) -> Callable:
     """A ``mapInArrow`` function from one that maps a dict of columns to a dict of columns."""
 

@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import byte_bpe, chat_format, chosen_path, kmeans_tree, language_id, packing, pii, quality_rules, ring_sharding, toxicity
+from tallygrid.llm import byte_bpe, chat_format, chosen_path, kmeans_tree, language_id, packing, phrase_mining, pii, quality_rules, ring_sharding, toxicity
 from tallygrid.llm.common import fold, prepare, read_table
 from tallygrid.llm.sql import SQL
 
@@ -128,3 +128,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector."""
     return kmeans_tree.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two to five words of every language."""
+    return phrase_mining.best_phrases(phrase_mining.mine(read_table(spark, sf_dir, "documents")))

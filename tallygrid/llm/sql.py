@@ -110,4 +110,25 @@ classes AS (SELECT r.a AS sid, min(first_id) AS class_id, sum(copies)::BIGINT AS
 counted AS (SELECT nodes.sid, (copies - 1 + coalesce((SELECT sum(o.copies) FROM links JOIN nodes o ON o.sid = links.b WHERE links.a = nodes.sid), 0))::BIGINT AS n_links FROM nodes)
 SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(class_size, 1) AS class_size
 FROM documents d LEFT JOIN keyed k USING (doc_id) LEFT JOIN classes USING (sid) LEFT JOIN counted USING (sid)""",
+    "op11_phrase_mining": r"""
+WITH lowered AS (SELECT row_number() OVER () AS rn, coalesce(lang, 'und') AS lang,
+                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM worded, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)),
+counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counted WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest
+         FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)),
+scored AS (SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.first JOIN counted y ON y.lang = c.lang AND y.phrase = c.rest
+           JOIN totals t ON t.lang = c.lang
+           QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.cut) = 1),
+holds AS (SELECT DISTINCT lang, array_to_string(ws[i:i + w - 1], ' ') AS phrase, a
+          FROM (SELECT *, unnest(range(1, k - w + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS w FROM candidates))),
+free AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM holds h WHERE h.lang = s.lang AND h.phrase = s.phrase AND 100 * h.a >= 100 * s.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM free QUALIFY rank <= 2000""",
 }
