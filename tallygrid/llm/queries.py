@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallygrid.llm import byte_bpe, chat_format, chosen_path, kmeans_tree, language_id, packing, phrase_mining, pii, quality_rules, ring_sharding, toxicity
+from tallygrid.llm import byte_bpe, chat_format, chosen_path, importance_resampling, kmeans_tree, language_id, packing, phrase_mining, pii, quality_rules, ring_sharding, segment_search, toxicity
 from tallygrid.llm.common import fold, prepare, read_table
 from tallygrid.llm.sql import SQL
 
@@ -134,3 +134,15 @@ def op5_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest phrases of two to five words of every language."""
     return phrase_mining.best_phrases(phrase_mining.mine(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's words."""
+    return importance_resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector."""
+    return segment_search.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

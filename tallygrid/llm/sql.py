@@ -131,4 +131,36 @@ holds AS (SELECT DISTINCT lang, array_to_string(ws[i:i + w - 1], ' ') AS phrase,
 free AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM holds h WHERE h.lang = s.lang AND h.phrase = s.phrase AND 100 * h.a >= 100 * s.a))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM free QUALIFY rank <= 2000""",
+    "op12_importance_resampling": r"""
+WITH lowered AS (SELECT row_number() OVER () AS rn, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+worded AS (SELECT rn, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+target AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+spoken AS (SELECT rn, w, count(*) AS times FROM (SELECT rn, unnest(ws) AS w FROM worded) GROUP BY rn, w),
+corpus_words AS (SELECT w, sum(times) AS times FROM spoken GROUP BY w),
+target_words AS (SELECT w, count(*) AS times FROM target GROUP BY w),
+-- the CRC table by its polynomial, then one step a byte
+crc_table AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY b) AS tab
+              FROM (SELECT unnest(range(256))::BIGINT AS b)),
+coded AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM corpus_words UNION SELECT w FROM target_words)),
+hashed AS (SELECT w, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+                      lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8)), 4294967295::BIGINT) % 10000)::BIGINT AS bucket FROM coded, crc_table),
+summed AS (SELECT bucket, sum(coalesce(c.times, 0))::BIGINT AS s, sum(coalesce(t.times, 0))::BIGINT AS t
+           FROM hashed LEFT JOIN corpus_words c USING (w) LEFT JOIN target_words t USING (w) GROUP BY bucket),
+gained AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM summed) + 10000)::DOUBLE
+                                          / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM summed) + 10000)::DOUBLE)))::BIGINT AS gain FROM summed),
+weighed AS (SELECT rn, sum(times * gain)::BIGINT AS weight FROM spoken JOIN hashed USING (w) JOIN gained USING (bucket) GROUP BY rn),
+scored AS (SELECT rn, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+           FROM worded LEFT JOIN weighed USING (rn)),
+ordered AS (SELECT rn, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM ordered) * 10 // 100 THEN place END AS rank
+FROM scored LEFT JOIN ordered USING (rn)""",
+    "op13_segment_search": """
+WITH vectors AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+                 WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+           FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20""",
 }
