@@ -103,13 +103,18 @@ CONTEXT_BONUS = 0.3
 
 def running_sums(values: Column) -> Column:
     """Sums of an array from its start up to each place, by doubling steps."""
+    return _running(values, lambda a, b: a + b)
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """An array of numbers of at least 0, combined from its start up to each place; 0 changes nothing."""
     size = F.size(values)
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(2)))).cast("int") - 1)
 
     def double(sums: Column, step: Column) -> Column:
         shift = F.least(F.pow(F.lit(2), step).cast("int"), F.size(sums))
         moved = F.concat(F.array_repeat(F.lit(0), shift), F.slice(sums, F.lit(1), F.size(sums) - shift))
-        return F.zip_with(sums, moved, lambda a, b: a + b)
+        return F.zip_with(sums, moved, combine)
 
     return F.when(size <= 1, values).otherwise(F.aggregate(steps, values, double))
 
@@ -224,20 +229,28 @@ def _spans(cut: Column, kind: Kind, starts: Column) -> Column:
     return spans if kind.base else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``doc_id`` and, for each kind, an array ``<kind>`` of its spans with value and score, in order of start."""
-    frame = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+NO_SPANS = "array<struct<kind: string, start: int, end: int, value: string, score: double>>"
+
+
+def _with_spans(frame: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
+    """The frame (which has ``_text`` and no column named after a kind) with an array ``<kind>`` of spans for each kind."""
+    columns = frame.columns
     for kind in kinds:
         frame = _with_cut(frame, F.col("_text"), kind, f"_{kind.name}")
     cuts = {kind: F.col(f"_{kind.name}") for kind in kinds}
-    frame = frame.drop("_text").withColumns({f"_{kind.name}_lengths": _lengths(cut["pieces"], cut["found"]) for kind, cut in cuts.items()})
+    frame = frame.withColumns({f"_{kind.name}_lengths": _lengths(cut["pieces"], cut["found"]) for kind, cut in cuts.items()})
     frame = frame.withColumns({f"_{kind.name}_starts": running_sums(F.col(f"_{kind.name}_lengths")) for kind in kinds})
-    none = "array<struct<kind: string, start: int, end: int, value: string, score: double>>"
     spans = [
-        F.when(F.size(F.col(f"_{kind.name}")["found"]) > 0, _spans(F.col(f"_{kind.name}"), kind, F.col(f"_{kind.name}_starts"))).otherwise(F.array().cast(none)).alias(kind.name)
-        for kind in kinds
+        F.when(F.size(cut["found"]) > 0, _spans(cut, kind, F.col(f"_{kind.name}_starts"))).otherwise(F.array().cast(NO_SPANS)).alias(kind.name)
+        for kind, cut in cuts.items()
     ]
-    return frame.select("doc_id", *spans)
+    return frame.select(*columns, *spans)
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """``doc_id`` and, for each kind, an array ``<kind>`` of its spans with value and score, in order of start."""
+    frame = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return _with_spans(frame, kinds).drop("_text")
 
 
 def span_texts(spans: Column) -> Column:
@@ -245,31 +258,51 @@ def span_texts(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
 
 
-def _shown(kind: Kind) -> Callable[[Column], Column]:
-    """What takes the place of a piece and the match after it."""
+#: characters of the parts that a text is put together from again
+PART_CHARS = 1_000
 
-    def shown(m: Column) -> Column:
-        confirmed = kind.check(m["value"])
-        if not kind.base:
-            confirmed = confirmed & (_score(kind, m["before"], m["after"]) >= THRESHOLD)
-        return F.concat(m["piece"], F.when(confirmed, f"[{kind.name.upper()}]").otherwise(m["value"]))
 
-    return shown
+def _merged(spans: Column) -> Column:
+    """``array<struct<start, end, kind>>`` that covers the same characters as spans in order of start, without overlap."""
+    size = F.size(spans)
+    reach = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    opens = F.zip_with(spans, F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), size - 1)), lambda s, before: s["start"] >= before)
+    # a group ends where the next one opens, and the reach up to there is its end
+    closes = F.concat(F.slice(opens, F.lit(2), size), F.array(F.lit(True)))
+    heads = F.filter(F.arrays_zip(spans.alias("span"), opens.alias("mark")), lambda s: s["mark"])
+    ends = F.filter(F.arrays_zip(reach.alias("end"), closes.alias("mark")), lambda s: s["mark"])
+    return F.zip_with(heads, ends, lambda head, last: F.struct(head["span"]["start"].alias("start"), last["end"].alias("end"), head["span"]["kind"].alias("kind")))
+
+
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text cut into parts of ``PART_CHARS``; reads the parts in question alone."""
+    first, last = F.floor(start / PART_CHARS).cast("int"), F.floor(end / PART_CHARS).cast("int")
+    part = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    head = F.substring(part(first), start % PART_CHARS + 1, F.lit(PART_CHARS))
+    middle = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    within = F.substring(part(first), start % PART_CHARS + 1, end - start)
+    return F.when(first == last, within).otherwise(F.concat(head, middle, F.substring(part(last), F.lit(1), end % PART_CHARS)))
 
 
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """The documents with every confirmed value replaced by its kind in brackets, all other columns as they were.
-    Kinds are replaced one after the other, so what two kinds share is replaced by the first."""
+    """The documents with every span of ``find`` replaced by its kind in brackets, all other columns as they were.
+
+    All kinds are judged on the text as it came. Spans that overlap are replaced together, by the kind of the one
+    that starts first (of several, the longest; of those, the first in ``kinds``)."""
     columns = docs.columns
-    frame = docs
-    for kind in kinds:
-        cut = F.col("_cut")
-        frame = _with_cut(frame, F.coalesce(F.col(text_col), F.lit("")), kind, "_cut")
-        named = [F.slice(cut["pieces"], F.lit(1), F.size(cut["found"])).alias("piece"), cut["found"].alias("value")]
-        if not kind.base:
-            before, after = _context(cut)
-            named += [before.alias("before"), after.alias("after")]
-        each = F.arrays_zip(*named)
-        made = F.concat(F.array_join(F.transform(each, _shown(kind)), ""), F.element_at(cut["pieces"], -1))
-        frame = frame.withColumn(text_col, F.when(F.size(cut["found"]) > 0, made).otherwise(F.col(text_col))).drop("_cut")
-    return frame.select(*[F.col(f"`{c}`") for c in columns])
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    frame = _with_spans(frame, kinds)
+    every = F.concat(*[
+        F.transform(kind.name, lambda s, place=place: F.struct(s["start"].alias("start"), (-s["end"]).alias("_end"), F.lit(place).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
+        for place, kind in enumerate(kinds)
+    ])
+    frame = frame.select("_row", "_text", F.array_sort(every).alias("_spans"))
+    some = F.size("_spans") > 0
+    frame = frame.withColumn("_merged", F.when(some, _merged(F.col("_spans")))).withColumn("_parts", F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0))))
+    merged, parts = F.col("_merged"), F.col("_parts")
+    starts = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
+    gaps = F.zip_with(starts, F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length("_text"))), lambda at, end: _between(parts, at, end))
+    labels = F.concat(F.transform(merged, lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))), F.array(F.lit("")))
+    made = F.array_join(F.zip_with(gaps, labels, lambda gap, label: F.concat(gap, label)), "")
+    masked = F.when(some, made).otherwise(F.col(f"_row.`{text_col}`"))
+    return frame.select(*[masked.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in columns])

@@ -159,6 +159,8 @@ class Entries:
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int, resolutions: tuple[int, ...] = RESOLUTIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query number, id and score of the k best for each query among those that score at least ``least``."""
+        if not len(self.vectors):
+            return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
         rows, columns = survivors(queries, self.vectors, least, resolutions)
         scores = scores_of(queries, self.vectors, rows, columns)
         near = scores >= np.maximum(least, self._edges(rows, scores, len(queries), k))[rows]

@@ -59,10 +59,11 @@ SELECT conv_id, count(*) AS n_turns,
            + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id""",
     "op6_pii": rf"""
-WITH kinds(place, kind, pattern, whole, needs) AS (VALUES
+WITH RECURSIVE kinds(place, kind, pattern, whole, needs) AS (VALUES
     (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '.*', '@'), (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', '.*', '[0-9]\.[0-9]'),
     (3, 'card', '[0-9](?:[ -]?[0-9])+', '.*', '[0-9]'), (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]', '.*', '\+'),
-    (5, 'iban', '\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}\b', '.*', '[A-Z]{{2}}[0-9]{{2}}'),
+    -- beginnings; how far a number goes is decided below
+    (5, 'iban', '(?:^|[^A-Za-z0-9_])[A-Z]{{2}}[0-9]{{2}}', '.*', '[A-Z]{{2}}[0-9]{{2}}'),
     -- runs between which the pattern cannot match: one matches as a whole or not at all
     (6, 'national_id', '[0-9-]+', '[0-8][0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}', '[0-9]-[0-9]{{2}}-[0-9]'), (7, 'secret', '[A-Za-z0-9]+', '[A-Fa-f0-9]{{32,64}}', '[A-Fa-f0-9]{{32}}')),
 numbered AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
@@ -72,20 +73,31 @@ each AS (
     SELECT rn, t, place, kind, whole, found[i] AS v,
            (list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0))::BIGINT AS s
     FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM cut)),
+heads AS (SELECT rn, t, CASE WHEN length(v) > 4 THEN s + 1 ELSE s END AS s FROM each WHERE kind = 'iban'),
+-- the longest part of what may be a number that ends before no letter, digit or underscore and passes the check
+ibans AS (
+    SELECT rn, s, s + max(n) AS e
+    FROM (SELECT rn, t, s, n, substr(t, s + 1, n) AS v, upper(regexp_replace(substr(t, s + 1, n), '[^A-Za-z0-9]', '', 'g')) AS plain
+          FROM (SELECT *, unnest(range(15, 65)) AS n FROM heads) WHERE s + n <= length(t))
+    WHERE regexp_full_match(v, '[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}') AND NOT regexp_matches(substr(t, s + n + 1, 1), '[A-Za-z0-9_]')
+      AND list_reduce(list_prepend(0, list_transform(string_split(plain[5:] || plain[1:4], ''), lambda c:
+            CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+    GROUP BY rn, s),
+chain AS (
+    SELECT rn, min(s) AS s, arg_min(e, s) AS e FROM ibans GROUP BY rn
+    UNION ALL SELECT i.rn, min(i.s), arg_min(i.e, i.s) FROM chain c JOIN ibans i ON i.rn = c.rn AND i.s >= c.e GROUP BY i.rn),
 matched AS (
-    SELECT *, s + length(v) AS e, coalesce(lag(s + length(v)) OVER w, 0) AS before, coalesce(lead(s) OVER w, length(t)) AS after,
-           regexp_replace(v, '[^0-9]', '', 'g') AS digits, upper(regexp_replace(v, '[^A-Za-z0-9]', '', 'g')) AS plain
-    FROM each WHERE regexp_full_match(v, whole) AND NOT (kind = 'national_id' AND regexp_matches(v, '^000|^666|-00-|-0000$'))
-    WINDOW w AS (PARTITION BY rn, kind ORDER BY s)),
+    SELECT *, s + length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS digits
+    FROM each WHERE kind <> 'iban' AND regexp_full_match(v, whole) AND NOT (kind = 'national_id' AND regexp_matches(v, '^000|^666|-00-|-0000$'))),
 passed AS (
+    SELECT rn, 5 AS place, 'iban' AS kind, s, e FROM chain
+    UNION ALL
     SELECT rn, place, kind, s, e FROM matched
     WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
         WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR TRY_CAST(right('000' || p, 3) AS INTEGER) > 255)) = 0
         WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
             CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INTEGER) ELSE CAST(reverse(digits)[i] AS INTEGER) * 2 % 10 + CAST(reverse(digits)[i] AS INTEGER) * 2 // 10 END)) % 10 = 0
-        WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(plain[5:] || plain[1:4], ''), lambda c:
-            CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
-        ELSE regexp_matches(lower(substr(t, greatest(before, s - 40) + 1, s - greatest(before, s - 40)) || ' ' || substr(t, e + 1, least(20, after - e))),
+        ELSE regexp_matches(lower(substr(t, greatest(s - 40, 0) + 1, least(s, 40)) || ' ' || substr(t, e + 1, 20)),
             CASE kind WHEN 'secret' THEN 'token|secret|key|passw|credential|auth' ELSE 'ssn|social security|insurance|national' END) END),
 summed AS (
     SELECT rn, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "ip", "card", "phone", "iban", "national_id", "secret"))},

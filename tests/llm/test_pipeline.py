@@ -27,7 +27,7 @@ def test_entry_has_every_operator():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(name.startswith(f"op{n}_") for name in names) for n in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_like_plain_steps(llm_spark):

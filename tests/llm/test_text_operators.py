@@ -4,13 +4,16 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from oracle import _rows
 from plain import BASE_KINDS, WORD, base_spans, repeated_words
 from pyspark.sql import functions as F
 
-from tallygrid.llm import byte_bpe, language_id, pii, quality_rules, toxicity
+from tallygrid.llm import byte_bpe, language_id, pii, quality_rules, queries, toxicity
 from tallygrid.llm.common import fold, read_table
 from tallygrid.llm.queries import QUERIES
 
@@ -230,6 +233,50 @@ def test_iban_before_capitals_and_numbers(llm_spark, documents):
         assert masked[i] == text
 
 
+MIXED = [
+    ("insurance@acme.com 123-45-6789", "[EMAIL] [NATIONAL_ID]"), ("token abcdef4111111111111111abcdefabcdefab99", "token [SECRET]"),
+    ("ssn 123-45-6789, 234-56-7890", "ssn [NATIONAL_ID], [NATIONAL_ID]"), ("iban DE89370400440532013000 BIC COBADEFFXXX", "iban [IBAN] BIC COBADEFFXXX"),
+    ("key@a.bc 0b96a8c8d79c4a5085c919698889f59b é1.2.3.4😀", "[EMAIL] [SECRET] é[IP]😀"), ("x" * 999 + "é a@b.cd" + "😀" * 2_500 + "1.2.3.4" + "y" * 1_000, "x" * 999 + "é [EMAIL]" + "😀" * 2_500 + "[IP]" + "y" * 1_000),
+    ("a" * 1_000 + " a@b.cd", "a" * 1_000 + " [EMAIL]"), ("", ""), (None, None), ("nothing here", "nothing here"),
+]
+
+
+def test_redaction_takes_every_span_of_find_away(llm_spark, documents):
+    texts = [t for t, _ in MIXED] + HARD + [r["text"] for r in read_table(llm_spark, SF, "documents").collect()]
+    docs = documents(list(enumerate(texts)))
+    found = {r["doc_id"]: sorted((s["start"], s["end"]) for k in pii.KINDS for s in r[k.name]) for r in pii.find(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    label = "|".join(rf"\[{k.name.upper()}\]" for k in pii.KINDS)
+    for i, text in enumerate(texts):
+        parts, at = [], 0
+        for start, end in found[i]:
+            if start >= at:
+                parts.append(text[at:start])
+            at = max(at, end)
+        if found[i]:
+            assert re.split(label, masked[i]) == [p for part in [*parts, text[at:]] for p in re.split(label, part)], text
+        else:
+            assert masked[i] == text
+    assert [masked[i] for i in range(len(MIXED))] == [m for _, m in MIXED]
+
+
+def test_pii_sql_has_the_rules_of_the_operator(llm_spark, documents, monkeypatch):
+    one, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [t for t, _ in MIXED] + [
+        f"{one} {one} X", f"REF AB12 {spaced} EUR {one}", f"{one}1 EUR", f"x{one}", f"{one}_", f"{one}é", f"AB12{one}", f"AB12 CD34 EF56 GH78 {one} AB12 CD34",
+        "keys: " + "0b96a8c8d79c4a5085c919698889f59b " * 3, "123-45-6789 234-56-7890 ssn", "000-12-3456 ssn 123-45-6789-1",
+    ] + [t for t in HARD if len(t or "") < 1_000]
+    docs = documents(list(enumerate(texts)))
+    monkeypatch.setattr(queries, "read_table", lambda *_: docs)
+    frame = QUERIES["op6_pii"](llm_spark, SF)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
+    cursor = con.execute(queries.SQL["op6_pii"])
+    columns = [d[0] for d in cursor.description]
+    for mine, theirs in zip(_rows(frame.columns, frame.collect()), _rows(columns, cursor.fetchall())):
+        assert mine == theirs
+
+
 def test_redaction_leaves_nothing_and_touches_nothing_else(llm_spark, documents):
     docs = documents([(i, t) for i, t in enumerate(HARD)] + [(100, "clean text 12"), (100, "clean text 12")])
     done = pii.redact(docs)
