@@ -8,6 +8,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -88,6 +89,12 @@ class Scratch:
                 return
         raise ValueError("not a table of this run, or dropped before")
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        for table, _ in list(self._paths):
+            if not any(table is kept for kept in tables):
+                self.drop(table)
+
 
 def by_batch(function: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema) -> Callable:
     """A ``mapInArrow`` function from one that maps a dict of columns to a dict of columns."""
@@ -127,3 +134,17 @@ def split_by_filter(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataF
     marked = marked.withColumn("_held", F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.col("_at") % 8).cast("int")) != 0, F.lit(False)))
     back = [F.col(f"`{c}`") for c in columns]
     return marked.where("_held").select(*back), marked.where("NOT _held").select(*back)
+
+
+def top_ids(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query number its k best ids, each id by its best score."""
+    order = np.lexsort((-scores, ids, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.ones(len(ids), dtype=bool)
+    first[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, scores = query[first], ids[first], scores[first]
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    begin = np.searchsorted(query, query, side="left")
+    held = np.arange(len(query)) - begin < k
+    return query[held], ids[held], scores[held]

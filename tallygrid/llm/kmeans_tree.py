@@ -8,13 +8,14 @@ vectors of the first ``visits`` leaves. ``calibrate`` takes the exact neighbours
 brute force over all rows, and widens the visits until the wanted share of them lies in visited leaves.
 
 Equal vectors are one entry of the index with the smallest ids that any query can need (k + 1, to leave out the
-query itself), so a vector that very many rows share costs what one does. A leaf with many entries is spread over
-groups, whose k best per query are merged.
+query itself), so a vector that very many rows share costs what one does. An id is one candidate, by the best of its vectors, and a
+query id asks with all of its vectors; every cut to k counts ids, not vectors. A leaf's entries are dealt to groups and its
+queries to blocks, each a row; a task compares one block with one group at a time, and the k best per query are merged.
 
 Inner products are double precision, summed in the order of the coordinates, so equal vectors tie exactly
 and ties go to the smaller id. Defined cases: null vectors, zero vectors, vectors with null, NaN or infinite
 components, with another length than ``dim`` (by default, the most common one), and rows without an id take no part; a repeated id is
-one candidate for each of its different vectors, and never its own neighbour; fewer candidates than k give all; an empty table
+never its own neighbour; fewer candidates than k give all; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -22,14 +23,15 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallygrid.llm.common import staged
+from tallygrid.llm.common import staged, top_ids as top
 
 #: vectors that the tree is fitted on, at most about
 FIT_ROWS = 20_000
@@ -38,6 +40,8 @@ BRANCHES = 8
 LEAF_ROWS = 512
 #: index entries of a leaf that one task compares, on average at most
 GROUP_ROWS = 1_024
+#: queries of a leaf that one task compares at once, on average at most
+BLOCK_ROWS = 512
 #: queries that the visits are calibrated on, at most about
 CALIBRATION_QUERIES = 200
 RECALL = 0.95
@@ -184,37 +188,32 @@ def visit(queries: DataFrame, tree: Tree, visits: int) -> DataFrame:
     return queries.select("query_id", "query").mapInArrow(run, f"query_id long, query {kind}, leaf long")
 
 
-def _best(scored: dict, k: int) -> pa.RecordBatch:
-    """The k nearest of each query among what a task has seen; ``scored``: query id -> list of (ids, scores)."""
-    query_ids, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for query_id, parts in scored.items():
-        own_ids, own = (parts[0] if len(parts) == 1 else (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
-        top = np.lexsort((own_ids, -own))[:k]
-        query_ids.append(np.full(len(top), query_id, dtype=np.int64))
-        ids.append(own_ids[top])
-        scores.append(own[top])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (query_ids, ids, scores)], names=["query_id", "vec_id", "score"])
-
-
-def compare(pairs: tuple, k: int) -> dict:
-    """Scores of queries against vectors: (query ids, queries, vectors, ids of each vector) -> query id -> best (ids, scores)."""
-    query_ids, queries, vectors, ids = pairs
-    owner = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    flat = np.array([i for part in ids for i in part], dtype=np.int64)
-    scores = score_matrix(queries, vectors)
-    found = defaultdict(list)
-    for row, query_id in zip(scores, query_ids):
-        every = row[owner]
-        keep = flat != query_id
-        own_ids, own = flat[keep], every[keep]
-        if len(own) > k:
-            edge = np.partition(own, len(own) - k)[len(own) - k]
-            near = own >= edge
-            own_ids, own = own_ids[near], own[near]
-            top = np.lexsort((own_ids, -own))[:k]
-            own_ids, own = own_ids[top], own[top]
-        found[query_id].append((own_ids, own))
-    return found
+@dataclass
+class Entries:
+    """Vectors and the ids of each."""
+
+    vectors: np.ndarray
+    ids: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, ids: pa.Array) -> Entries:
+        return cls(vectors, ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, id and score of the k nearest ids of each query."""
+        scores = score_matrix(queries, self.vectors)
+        near = np.ones(scores.shape, dtype=bool)
+        if scores.shape[1] > k + 1 and len(np.unique(self.ids)) == len(self.ids):
+            # each of the k + 1 nearest vectors has an id of its own, and only one of these can be the query's
+            near = scores >= np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1][:, None]
+        rows, columns = np.nonzero(near)
+        times = self.sizes[columns]
+        begin = np.cumsum(self.sizes) - self.sizes
+        at = np.repeat(begin[columns] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        query, ids, held = np.repeat(rows, times), self.ids[at], np.repeat(scores[rows, columns], times)
+        other = ids != query_ids[query]
+        return top(query[other], ids[other], held[other], k)
 
 
 def merge(partial: DataFrame, k: int) -> DataFrame:
@@ -224,47 +223,60 @@ def merge(partial: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def look_up(index: DataFrame, visits: DataFrame, k: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """The k nearest entries in the visited leaves. A large leaf's entries are dealt to groups and its visits go to all of them."""
-    groups = F.broadcast(index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("groups")))  # a row for each leaf of the tree
-    dealt = index.join(groups, "leaf").withColumn("group", F.pmod(F.xxhash64("vec"), F.col("groups")).cast("int")).drop("groups")
-    asked = visits.join(groups, "leaf").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
-    block = 512
+def look_up(index: DataFrame, visits: DataFrame, k: int, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest entries in the visited leaves: every block of a leaf's queries meets every group of its entries."""
+
+    def dealt(rows: DataFrame, size: int, *by: str) -> DataFrame:
+        parts = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_parts"))  # a row for each leaf of the tree
+        return rows.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int")).drop("_parts")
+
+    longs = pa.list_(pa.int64())
+
+    def group(table: pa.Table) -> pa.Table:
+        ids = table.column("ids").combine_chunks()
+        columns = [table.column("leaf")[:1].combine_chunks(), pa.array([_reals(table.column("vec")).tobytes()], pa.binary()), pa.array([ids.flatten()], longs)]
+        return pa.table([*columns, pa.array([pc.list_value_length(ids).cast(pa.int64())], longs)], names=["leaf", "vectors", "ids", "sizes"])
+
+    def block(table: pa.Table) -> pa.Table:
+        columns = [table.column("leaf")[:1].combine_chunks(), pa.array([table.column("query_id").combine_chunks()], longs), pa.array([_reals(table.column("query")).tobytes()], pa.binary())]
+        return pa.table(columns, names=["leaf", "query_ids", "queries"])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = defaultdict(list)
-        if left.num_rows and right.num_rows:
-            dim = len(left.column("query")[0])
-            vectors, ids = _matrix(right.column("vec").combine_chunks(), dim), right.column("ids").to_pylist()
-            query_ids, queries = left.column("query_id").to_numpy(), _matrix(left.column("query").combine_chunks(), dim)
-            for start in range(0, len(query_ids), block):
-                for query_id, parts in compare((query_ids[start : start + block].tolist(), queries[start : start + block], vectors, ids), k).items():
-                    found[query_id] += parts
-        return pa.Table.from_batches([_best(found, k)])
+    width = 4 if index.schema["vec"].dataType.simpleString() == "array<float>" else 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                query_ids, ids, sizes = (batch.column(name)[row].values.to_numpy(zero_copy_only=False) for name in ("query_ids", "ids", "sizes"))
+                queries, vectors = (
+                    np.frombuffer(batch.column(name)[row].as_buffer(), dtype=f"<f{width}").reshape(n, -1).astype(np.float64) for name, n in (("queries", len(query_ids)), ("vectors", len(sizes)))
+                )
+                query, found, scores = Entries(vectors, ids, sizes).best(query_ids, queries, k)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[query]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    groups = dealt(index, group_rows, "vec").groupBy("leaf", "part").applyInArrow(group, "leaf long, vectors binary, ids array<long>, sizes array<long>")
+    blocks = dealt(visits, block_rows, "query_id", "query").groupBy("leaf", "part").applyInArrow(block, "leaf long, query_ids array<long>, queries binary")
+    return merge(blocks.join(groups, "leaf").mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
-    by = ["leaf", "group"]
-    partial = asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score double")
-    return merge(partial, k)
+
+def _reals(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of a column of vectors as they are, one after the other."""
+    return np.asarray(column.combine_chunks().flatten())
 
 
 def brute_force(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The exact k nearest of a bounded number of queries (they are collected and sent to all tasks)."""
     asked = queries.select("query_id", "query").collect()
-    ids, matrix = [r["query_id"] for r in asked], np.array([r["query"] for r in asked], dtype=np.float64)
+    ids, matrix = np.array([r["query_id"] for r in asked], dtype=np.int64), np.array([r["query"] for r in asked], dtype=np.float64)
     shared = index.sparkSession.sparkContext.broadcast((ids, matrix))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, wanted = shared.value
-        found = defaultdict(list)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             if batch.num_rows and len(query_ids):
-                vectors = _matrix(batch.column("vec"), wanted.shape[1])
-                for query_id, parts in compare((query_ids, wanted, vectors, batch.column("ids").to_pylist()), k).items():
-                    found[query_id] += parts
-                    if len(found[query_id]) > 8:
-                        best = _best({query_id: found[query_id]}, k)
-                        found[query_id] = [(best.column("vec_id").to_numpy(), best.column("score").to_numpy())]
-        yield _best(found, k)
+                more = Entries.of(_matrix(batch.column("vec"), wanted.shape[1]), batch.column("ids")).best(query_ids, wanted, k)
+                held = top(*(np.concatenate(pair) for pair in zip(held, more)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "vec_id", "score"])
 
     return merge(index.select("vec", "ids").mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
@@ -274,10 +286,17 @@ def calibrate(index: DataFrame, tree: Tree, queries: DataFrame, k: int, wanted:
     share = min(1.0, limit / max(queries.count(), 1))
     sample = staged(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(1_000_000)) < share * 1_000_000), "calibration")
     exact = brute_force(index, sample, k)  # about limit * k rows
-    places = exact.join(index.select("leaf", F.explode("ids").alias("vec_id")), "vec_id").select("query_id", "leaf").collect()
-    vectors = {r["query_id"]: np.array(r["query"], dtype=np.float64) for r in sample.collect()}
-    rank_of = {q: {leaf: i for i, leaf in enumerate(tree.search(v, tree.leaves))} for q, v in vectors.items()}
-    ranks = np.sort([rank_of[r["query_id"]][r["leaf"]] for r in places])
+    homes = exact.join(index.select("leaf", F.explode("ids").alias("vec_id")), "vec_id").select("query_id", "vec_id", "leaf").collect()
+    places: dict[int, dict[int, int]] = {}  # how early each leaf comes for a query id, by the vector that meets it first
+    for row in sample.collect():
+        held = places.setdefault(row["query_id"], {})
+        for i, leaf in enumerate(tree.search(np.array(row["query"], dtype=np.float64), tree.leaves)):
+            held[leaf] = min(i, held.get(leaf, i))
+    # an id with several vectors counts as found where the latest of them lies
+    latest: dict[tuple[int, int], int] = {}
+    for query_id, vec_id, leaf in homes:
+        latest[query_id, vec_id] = max(places[query_id][leaf], latest.get((query_id, vec_id), 0))
+    ranks = np.sort(list(latest.values()))
     if not len(ranks):
         return 1, 1.0
     visits = int(ranks[math.ceil(wanted * len(ranks)) - 1]) + 1
@@ -287,7 +306,7 @@ def calibrate(index: DataFrame, tree: Tree, queries: DataFrame, k: int, wanted:
 def search(table: DataFrame, is_query: Column, k: int = 20, dim: int | None = None, wanted: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest of every row where ``is_query`` (over ``vec_id``) holds."""
     rows = usable(table, id_col, vec_col, dim)
-    queries = staged(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")), "queries")
+    queries = staged(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")).distinct(), "queries")
     tree, index = build(rows, k)
     visits, _ = calibrate(index, tree, queries, k, wanted)
     return look_up(index, visit(queries, tree, visits), k)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallygrid.llm.common import Scratch
+from tallygrid.llm.common import Scratch, top_ids as top
 
 #: segments of each resolution, coarse to fine
 RESOLUTIONS = (1, 4, 16)
@@ -121,20 +121,6 @@ def scores_of(queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, column
     return np.einsum("ij,ij->i", queries[rows], vectors[columns])
 
 
-def top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query number its k best ids, each id by its best score."""
-    order = np.lexsort((-scores, ids, query))
-    query, ids, scores = query[order], ids[order], scores[order]
-    first = np.ones(len(ids), dtype=bool)
-    first[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
-    query, ids, scores = query[first], ids[first], scores[first]
-    order = np.lexsort((ids, -scores, query))
-    query, ids, scores = query[order], ids[order], scores[order]
-    begin = np.searchsorted(query, query, side="left")
-    held = np.arange(len(query)) - begin < k
-    return query[held], ids[held], scores[held]
-
-
 class Entries:
     """Distinct vectors with the ids of each."""
 
