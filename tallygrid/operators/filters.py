@@ -87,24 +87,18 @@ def newest_per_group(
 ) -> DataFrame:
     """The ``n`` newest rows of every group, ties by falling ``ties``, with their rank.
 
-    Each group is first cut by counts: at the minute that holds its n-th newest row, then inside that minute
-    at the second. So no more than n rows and those of one second are ranked per group,
-    however large the table is; rows without a time come last.
+    Counts by second, taken once, tell at which second each group's n-th newest row lies: found among its minutes first, then inside
+    that minute. So no more than n rows and those of one second are ranked per group, however large the table is; rows
+    without a time come last.
     """
     keys, rows = list(keys), df.withColumn("_second", F.coalesce(F.unix_seconds(time), F.lit(-(2**62))))
-    rows = rows.withColumn("_minute", F.floor(F.col("_second") / 60))
-    every = F.lit(-(2**62))
-    by_minute = _cut(rows.groupBy(*keys, "_minute").agg(F.count("*").alias("n")), keys, "_minute", F.lit(n))
-    rows = rows.join(by_minute.select(*keys, F.col("cut").alias("_cut"), F.col("newer").alias("_newer")), keys, "left")
-    rows = rows.filter(F.col("_minute") >= F.coalesce("_cut", every))
-    inside = rows.filter(F.col("_minute") == F.col("_cut")).groupBy(*keys, "_second").agg(
-        F.count("*").alias("n"), (n - F.max("_newer")).alias("left")
-    )
-    by_second = _cut(inside, keys, "_second", F.col("left"))
-    rows = rows.join(by_second.select(*keys, F.col("cut").alias("_from")), keys, "left")
-    rows = rows.filter((F.col("_minute") > F.coalesce("_cut", every)) | (F.col("_second") >= F.coalesce("_from", every)))
-    order = [F.desc(c) for c in (time, *ties)]
-    return top_per_group(rows, keys, order, n, rank_column).drop("_second", "_minute", "_cut", "_newer", "_from")
+    minute = F.floor(F.col("_second") / 60).alias("_minute")
+    seconds = rows.groupBy(*keys, minute, "_second").agg(F.count("*").alias("n"))
+    by_minute = _cut(seconds.groupBy(*keys, "_minute").agg(F.sum("n").alias("n")), keys, "_minute", F.lit(n))
+    inside = seconds.join(by_minute.withColumnRenamed("cut", "_minute"), [*keys, "_minute"]).withColumn("left", n - F.col("newer")).drop("newer")
+    by_second = _cut(inside, keys, "_second", F.col("left")).select(*keys, F.col("cut").alias("_from"))
+    newest = rows.join(by_second, keys, "left").filter(F.col("_second") >= F.coalesce("_from", F.lit(-(2**62))))
+    return top_per_group(newest, keys, [F.desc(c) for c in (time, *ties)], n, rank_column).drop("_second", "_from")
 
 
 def _cut(counts: DataFrame, keys: Sequence[str], bucket: str, wanted: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -80,17 +81,21 @@ def rollup_hour(df: DataFrame, registry: DataFrame, tick: Instant, intervals: in
     start, end = _intervals(tick, HOUR, intervals)
     keys = ["client_id", "interval_start"]
     rows = _with_interval(df, start, end, HOUR)
-    names = rows.groupBy(*keys, "event_name").agg(F.count("*").alias("count"))
-    totals = names.groupBy(*keys).agg(F.sum("count").alias("count"))
-    users = rows.groupBy(*keys).agg(F.count_distinct("user_id").alias("users"))
-    ten = rank_names(names, keys, 10).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "event_name", "count", "percentage"))).alias("ten")
-    )
-    grid = _tenant_grid(registry, start, end, HOUR)
-    wide = grid.join(totals, keys, "left").join(users, keys, "left").join(ten, keys, "left")
-    wide = wide.fillna(0, ["count", "users"]).withColumn(
-        "ten", F.coalesce("ten", F.expr("array()").cast(ten.schema["ten"].dataType))
-    )
+    names = rank_names(rows.groupBy(*keys, "event_name").agg(F.count("*").alias("count")), keys, 10)
+    # one shuffle by tenant and hour for totals, names and the grid; distinct users come as one row a user
+    people = rows.filter("user_id IS NOT NULL").groupBy(*keys, "user_id").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("users"))
+    none = F.lit(None)
+    entry = "struct<rank: int, event_name: string, count: bigint, percentage: double>"
+    parts = [
+        _tenant_grid(registry, start, end, HOUR).select(*keys, F.lit(True).alias("asked"), none.cast("bigint").alias("count"), none.cast("bigint").alias("users"), none.cast(entry).alias("name")),
+        rows.groupBy(*keys).agg(F.count("*").alias("count")).select(*keys, none.cast("boolean").alias("asked"), "count", none.cast("bigint").alias("users"), none.cast(entry).alias("name")),
+        people.select(*keys, none.cast("boolean").alias("asked"), none.cast("bigint").alias("count"), "users", none.cast(entry).alias("name")),
+        names.select(*keys, none.cast("boolean").alias("asked"), none.cast("bigint").alias("count"), none.cast("bigint").alias("users"), F.struct("rank", "event_name", "count", "percentage").cast(entry).alias("name")),
+    ]
+    wide = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
+        F.max("asked").alias("asked"), F.coalesce(F.sum("count"), F.lit(0)).alias("count"), F.coalesce(F.sum("users"), F.lit(0)).alias("users"),
+        F.sort_array(F.collect_list("name")).alias("ten"),  # at most ten
+    ).where("asked")
     listed = F.transform("ten", lambda e: F.struct(e["event_name"], e["count"], e["percentage"]))
     return _as_aggregates(
         wide,

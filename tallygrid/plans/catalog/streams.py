@@ -11,8 +11,10 @@ from tallygrid.functions.times import literal_time
 from tallygrid.operators import ingest, ratelimit
 from tallygrid.plans.catalog.common import AS_OF, query
 from tallygrid.plans.catalog.live import ACCEPTED, EACH, EACH_SECOND, HOUR, INCOMING, SUBSCRIBED, subscription_state
+from tallygrid.plans.catalog.summaries import SESSIONS
 from tallygrid.session import new_run_dir
 from tallygrid.sources import adapter, readers
+from tallygrid.sources.snapshots import SeriesLog
 from tallygrid.streaming import jobs
 
 T = f"TIMESTAMP '{AS_OF}'"
@@ -22,6 +24,8 @@ EVENT_DDL = (
     "event_time TIMESTAMP, received_at TIMESTAMP"
 )
 
+SESSION_DDL = "client_id STRING, user_id STRING, session_start TIMESTAMP, session_end TIMESTAMP, events BIGINT, names INT"
+
 
 def feed(spark: SparkSession, sf: str, run: Callable[[DataFrame], StreamingQuery], path: str | None = None) -> None:
     """Three arrivals of events in time order; after each the job is resumed and drained."""
@@ -70,6 +74,20 @@ def stream_upsert(spark, sf):
     return _rolled(spark, sf, lambda events: jobs.stream_rollup(events, 1))
 
 
+@query("stream_series_log", series_sql("hour", "events_per_hour", "round(count(*) / 60.0::DOUBLE, 2) * 60", "'{\"count\":' || count(*) || '}'"))
+def stream_series_log(spark, sf):
+    table, checkpoint = _dirs(spark, "series", "checkpoint")
+    feed(spark, sf, lambda events: jobs.stream_series_log(jobs.stream_rollup(events, 60), table, checkpoint, compact_every=2))
+    return SeriesLog(spark, table).read().drop("created_at", "updated_at", "interval_date")
+
+
+@query("stream_sessions", SESSIONS + f"SELECT * FROM found WHERE session_end + INTERVAL 30 MINUTE <= {CLOSED}")
+def stream_sessions(spark, sf):
+    table, checkpoint = _dirs(spark, "sessions", "checkpoint")
+    feed(spark, sf, lambda events: jobs.stream_sessions(events, table, checkpoint))
+    return spark.read.schema(SESSION_DDL).parquet(table).drop("batch")
+
+
 @query("stream_ingest", INCOMING.format(reject="false") + ACCEPTED.split("CASE WHEN n % 31")[0] + """
 CASE WHEN n % 31 <> 0 THEN ts END AS event_time FROM seen WHERE len(reasons) = 0""")
 def stream_ingest(spark, sf):

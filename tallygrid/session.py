@@ -16,6 +16,8 @@ SESSION_SETTINGS = {
     # per-tenant top-n is cut inside every map task before the shuffle up to this n
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sessions of a busy user are joined inside the tasks before they are shuffled
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 _local_fallback: dict[str, str] = {}

@@ -21,8 +21,10 @@ from tallygrid.fixed_values import LIVE_TAIL_SIZE, RATE_WINDOW_SECONDS
 from tallygrid.functions.times import at
 from tallygrid.operators import alerts, fanout, ingest, ratelimit
 from tallygrid.operators.filters import known_users, newest_per_group
+from tallygrid.operators.sessions import GAP, sessions
 from tallygrid.sources import storage
 from tallygrid.sources.readers import read_aggregates
+from tallygrid.sources.snapshots import SeriesLog
 
 LATENESS = "10 minutes"
 VERSION = "version"
@@ -177,6 +179,33 @@ def stream_upsert(rows: DataFrame, aggregates_path: str, checkpoint: str, **opti
     return start(rows, handle, checkpoint, **options)
 
 
+def stream_series_log(rows: DataFrame, path: str, checkpoint: str, compact_every: int = 8, **options) -> StreamingQuery:
+    """Fold a stream of metric rows into a ``SeriesLog``: each micro-batch writes its own rows, a re-run replaces its delta, and
+    every ``compact_every``-th batch merges the days that have collected several."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        log = SeriesLog(batch.sparkSession, path)
+        log.merge(batch, f"{query_id(batch.sparkSession, checkpoint)}-{batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            log.compact()
+
+    return start(rows, handle, checkpoint, **options)
+
+
+# --- sessions ---------------------------------------------------------------------------
+
+
+def stream_sessions(events: DataFrame, path: str, checkpoint: str, gap: str = GAP, lateness: str = LATENESS, **options) -> StreamingQuery:
+    """Store sessions once they are over: those whose last event lies ``gap`` and ``lateness`` behind the newest event. A re-run
+    of a micro-batch replaces its folder."""
+    found = sessions(events.withWatermark("event_time", lateness), gap)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _replace_folder(batch, path, "batch", batch_id)
+
+    return start(found, handle, checkpoint, **options)
+
+
 # --- alerts -----------------------------------------------------------------------------
 
 
