@@ -1,15 +1,17 @@
 """Phrase collocations, mined set by set over sorted occurrence relations.
 
 Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and pieces into words at blanks and tabs. The
-relation of length 1 holds every word with its position; positions run on inside a piece and skip one between pieces, so two
-occurrences stand side by side in one piece exactly if their positions follow each other. A relation is persisted with one
-row a text, its occurrences sorted by position. For each length the relation is joined with itself by a merge on adjacent
-positions, phrases are counted by group, and the relation is semi-joined with the frequent ones before it is written for the
-next length. A merge never leaves a row, so only counts are shuffled, added up inside the tasks first.
-
-The semi-join looks frequent phrases up in a bitmap of fixed size that is sent to the tasks. It never misses one; an
-occurrence it lets through by chance costs room in the next relation and is counted like any other, and counts below
-``min_count`` fall out after each count. So every count is exact, whatever the bitmap's load.
+relation of length k holds all occurrences of phrases of k words that may be frequent, sorted by piece and position: a row a
+text, a line a run of words in one piece, and every k words in a row on a line are an occurrence. Two occurrences that
+start side by side in a piece stand side by side on a line, so the merge join that extends the relation to the next length reads
+each line once and never leaves a row. The groups are counted, the joined relation is semi-joined with the frequent ones, which breaks
+its lines where an occurrence is not frequent, and written for the next length.
+
+Groups are counted twice. First by a 64-bit hash of language and words: a hash that comes up less than ``min_count`` times stands for no
+frequent phrase, and what is left is put into a bitmap of fixed size that is sent to the tasks for the semi-join. Then
+the phrases themselves, in the relation that is left. The semi-join never misses a frequent phrase; an occurrence that it lets
+through by chance costs room and is counted like any other, and exact counts below ``min_count`` fall out. So every
+count is exact, whatever the bitmap's load. Only counts are shuffled, added up inside the tasks first.
 
 ``score`` is floor(1000 * a * n / (l * r)) for the cut with the least score (ties: the first cut), in decimal arithmetic of 38
 digits, exact for up to 10^17 words. A candidate is dropped if a candidate one word longer holds it with
@@ -24,13 +26,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from zlib import crc32
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -49,11 +51,12 @@ CHUNK_WORDS = 1_000_000
 #: bits of the semi-join's bitmap, whatever the number of phrases
 FILTER_BITS = 1 << 26
 _BITMAP = 32_768  # positions in one value of bitmap_construct_agg
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = bytes(range(ord("a"), ord("z") + 1))
 _CODED = bytes.maketrans(bytes(range(ord("A"), ord("Z") + 1)) + PIECE_ENDS + WORD_GAPS, _LOWER + b"\n" * len(PIECE_ENDS) + b" " * len(WORD_GAPS))
 
-RELATION = "lang string, words array<string>, at array<int>, begins array<boolean>"
+RELATION = "lang string, lines string, n long"
 
 
 def pieces(text: str | None) -> list[list[bytes]]:
@@ -62,56 +65,73 @@ def pieces(text: str | None) -> list[list[bytes]]:
     return [words for words in found if words]
 
 
-def _listed(values: pa.Array, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
-
-
 def occurrences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The relation of single words: a row a text, its words sorted by position, each beginning an occurrence."""
+    """The relation of single words: ``lines``, a line a piece, and ``n``, the words of each text that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, at, sizes = [], [np.zeros(0, np.int32)], []
+            lines, sizes = [], []
             for text in batch.column("text").to_pylist():
-                split, place, size = pieces(text), 0, 0
-                for piece in split:
-                    words += piece
-                    at.append(np.arange(place, place + len(piece), dtype=np.int32))
-                    place, size = place + len(piece) + 1, size + len(piece)
-                sizes.append(size)
-            sizes = np.array(sizes, dtype=np.int64)
-            begins = pa.array(np.ones(len(words), dtype=bool))
-            columns = [batch.column("lang"), _listed(pa.array(words, pa.string()), sizes), _listed(pa.array(np.concatenate(at)), sizes), _listed(begins, sizes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "at", "begins"]).filter(pa.array(sizes > 0))
+                words = pieces(text)
+                lines.append(b"\n".join([b" ".join(piece) for piece in words]))
+                sizes.append(sum(map(len, words)))
+            made = pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(lines, pa.string()), pa.array(sizes, pa.int64())], names=["lang", "lines", "n"])
+            yield made.filter(pc.greater(made.column("n"), 0))
 
     given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     return given.mapInArrow(run, RELATION)
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 @dataclass
 class Chunk:
-    """Rows of a relation side by side: for each word its row, its position, and whether an occurrence begins there."""
+    """Rows of a relation: their words one after the other, and the line and the row of each."""
 
     langs: pa.Array
     words: pa.Array
+    line: np.ndarray
     row: np.ndarray
-    at: np.ndarray
-    begins: np.ndarray
+
+    @classmethod
+    def of(cls, langs: pa.Array, texts: pa.Array) -> Chunk:
+        lines = pc.split_pattern(texts, "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        line_of_word = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        row_of_line = np.repeat(np.arange(len(lines)), pc.list_value_length(lines).to_numpy(zero_copy_only=False))
+        return cls(langs, words.flatten(), line_of_word, row_of_line[line_of_word])
 
     def joined(self, length: int) -> np.ndarray:
-        """Where occurrences of ``length`` words begin: two of a word less, side by side."""
-        if length == 1:
-            return np.flatnonzero(self.begins)
-        side = (self.row[1:] == self.row[:-1]) & (self.at[1:] == self.at[:-1] + 1)
-        return np.flatnonzero(self.begins[:-1] & self.begins[1:] & side)
+        """Where occurrences of ``length`` words begin: so many words stand on one line."""
+        ahead = length - 1
+        return np.flatnonzero(self.line[ahead:] == self.line[: len(self.line) - ahead])
 
-    def grouped(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each occurrence the number of its phrase, and for each phrase where it begins first."""
+    @cached_property
+    def coded(self) -> tuple[np.ndarray, int]:
+        """A number for every word and language, and how many numbers there are."""
         langs, words = self.langs.dictionary_encode(), self.words.dictionary_encode()
         vocabulary = max(len(words.dictionary), 1)
         lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.row]
-        code = lang * vocabulary + words.indices.to_numpy(zero_copy_only=False)
-        base = vocabulary * max(len(langs.dictionary), 1)
+        return lang * vocabulary + words.indices.to_numpy(zero_copy_only=False), vocabulary * max(len(langs.dictionary), 1)
+
+    def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """A 64-bit hash of the language and the words of each occurrence, the same in every task."""
+        digests = lambda texts: np.array([xxhash.xxh3_64_intdigest(t) for t in texts.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+        langs, words = self.langs.dictionary_encode(), self.words.dictionary_encode()
+        word = digests(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+        made = digests(langs.dictionary)[langs.indices.to_numpy(zero_copy_only=False)][self.row[starts]]
+        for ahead in range(length):
+            made = (made ^ word[starts + ahead]) * _MIX
+            made ^= made >> np.uint64(29)
+        return made.view(np.int64)
+
+    def grouped(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each occurrence the number of its phrase, and for each phrase where it begins first."""
+        code, base = self.coded
         made, size = code[starts], base
         for ahead in range(1, length):
             if size * base >= 1 << 62:  # numbers get too long: number anew
@@ -129,6 +149,18 @@ class Chunk:
         text = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
         return self.langs.take(pa.array(self.row[first])), text
 
+    def runs(self, starts: np.ndarray, length: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Languages, lines and words of the rows that are left when only the occurrences at ``starts`` are."""
+        opens = np.ones(len(starts), dtype=bool)
+        opens[1:] = (starts[1:] != starts[:-1] + 1) | (self.line[starts[1:]] != self.line[starts[:-1]])
+        first = np.flatnonzero(opens)
+        begin, sizes = starts[first], np.diff(np.append(first, len(starts))) + length - 1
+        lists = lambda values, counts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+        lines = pc.binary_join(lists(self.words.take(pa.array(_spread(begin, sizes))), sizes), " ")
+        rows, line_counts = np.unique(self.row[begin], return_counts=True)
+        words = np.add.reduceat(sizes, np.concatenate([[0], np.cumsum(line_counts)[:-1]]))
+        return self.langs.take(pa.array(rows)), pc.binary_join(lists(lines, line_counts), "\n"), words
+
 
 def chunks(batches: Iterator[pa.RecordBatch], chunk_words: int) -> Iterator[Chunk]:
     """The rows of a task, some ``chunk_words`` words at a time."""
@@ -136,15 +168,12 @@ def chunks(batches: Iterator[pa.RecordBatch], chunk_words: int) -> Iterator[Chun
 
     def made() -> Chunk:
         table = pa.Table.from_batches(held).combine_chunks()
-        column = {name: table.column(name).combine_chunks() for name in table.column_names}
-        row = np.repeat(np.arange(table.num_rows), pc.list_value_length(column["words"]).to_numpy(zero_copy_only=False))
-        flat = lambda name: column[name].flatten().to_numpy(zero_copy_only=False)
-        return Chunk(column["lang"], column["words"].flatten(), row, flat("at"), flat("begins"))
+        return Chunk.of(*(pa.concat_arrays(table.column(name).chunks) for name in ("lang", "lines")))
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            size += len(batch.column("words").flatten())
+            size += pc.sum(batch.column("n")).as_py()
         if size >= chunk_words:
             yield made()
             held, size = [], 0
@@ -152,80 +181,65 @@ def chunks(batches: Iterator[pa.RecordBatch], chunk_words: int) -> Iterator[Chun
         yield made()
 
 
-def count_phrases(relation: DataFrame, length: int, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """``lang``, ``phrase`` and ``f`` of the phrases of ``length`` words that occur often enough, from the relation of one word less."""
+def frequent_bitmap(relation: DataFrame, length: int, min_count: int = MIN_COUNT, bits: int = FILTER_BITS, chunk_words: int = CHUNK_WORDS) -> Broadcast:
+    """A bitmap of the hashes that ``min_count`` or more occurrences of ``length`` words have, ``bits`` in size, on all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, chunk_words):
-            starts = chunk.joined(length)
-            if len(starts):
-                number, first = chunk.grouped(starts, length)
-                langs, texts = chunk.phrases(first, length)
-                counts = pa.array(np.bincount(number, minlength=len(first)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([langs, texts, counts], names=["lang", "phrase", "n"])
+            number, distinct = pd.factorize(chunk.hashes(chunk.joined(length), length))
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(number, minlength=len(distinct)))], names=["hash", "n"])
 
-    counted = relation.mapInArrow(run, "lang string, phrase string, n long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-
-
-def frequent_bitmap(frequent: DataFrame, bits: int = FILTER_BITS) -> Broadcast:
-    """A bitmap of the hashed phrases, ``bits`` in size, on all tasks."""
-    place = F.crc32(F.concat_ws("\t", "lang", "phrase").cast("binary")) % bits
-    placed = frequent.select(place.alias("at"))
+    counted = relation.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    placed = counted.select(F.pmod("hash", F.lit(bits)).alias("at"))
     parts = placed.groupBy(F.floor(F.col("at") / _BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % _BITMAP).alias("bits"))
     bitmap = np.zeros(max(bits, _BITMAP) // 8, dtype=np.uint8)
     for row in parts.collect():  # at most bits / 32,768 rows of 4 kB
         start = row["part"] * _BITMAP // 8
         bitmap[start : start + len(row["bits"])] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return frequent.sparkSession.sparkContext.broadcast(bitmap)
+    return relation.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def keep_frequent(relation: DataFrame, length: int, bitmap: Broadcast, bits: int = FILTER_BITS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """The relation of ``length`` words, semi-joined with the frequent phrases; words in no occurrence go.
-
-    An occurrence without a neighbour cannot be extended and goes too."""
-
-    def known(chunk: Chunk, first: np.ndarray) -> np.ndarray:
-        langs, texts = chunk.phrases(first, length)
-        keys = pc.binary_join_element_wise(langs, texts, "\t").cast(pa.binary()).to_pylist()
-        place = np.fromiter((crc32(key) for key in keys), dtype=np.int64, count=len(keys)) % bits
-        return (bitmap.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    """The relation of ``length`` words: the one of a word less joined with itself, semi-joined with the frequent phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, chunk_words):
             starts = chunk.joined(length)
-            if not len(starts):
-                continue
-            number, first = chunk.grouped(starts, length)
-            begins = np.zeros(len(chunk.row) + 1, dtype=bool)
-            begins[starts[known(chunk, first)[number]]] = True
-            side = np.zeros(len(begins), dtype=bool)  # whether the next word stands beside this one
-            side[:-2] = (chunk.row[1:] == chunk.row[:-1]) & (chunk.at[1:] == chunk.at[:-1] + 1)
-            pair = begins[:-1] & begins[1:] & side[:-1]
-            begins = pair.copy()
-            begins[1:] |= pair[:-1]
-            held = begins.copy()
-            for ahead in range(1, length):
-                held[ahead:] |= begins[: len(begins) - ahead]
-            sizes = np.bincount(chunk.row[held], minlength=len(chunk.langs))
-            columns = [chunk.langs, *(_listed(values, sizes) for values in (chunk.words.filter(pa.array(held)), pa.array(chunk.at[held]), pa.array(begins[held])))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "at", "begins"]).filter(pa.array(sizes > 0))
+            place = chunk.hashes(starts, length) % bits
+            known = (bitmap.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            if known.any():
+                langs, lines, words = chunk.runs(starts[known], length)
+                yield pa.RecordBatch.from_arrays([langs, lines, pa.array(words.astype(np.int64))], names=["lang", "lines", "n"])
 
     return relation.mapInArrow(run, RELATION)
 
 
+def count_phrases(relation: DataFrame, length: int, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """``lang``, ``phrase`` and ``f`` of the frequent phrases of ``length`` words, from their relation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, chunk_words):
+            number, first = chunk.grouped(chunk.joined(length), length)
+            langs, texts = chunk.phrases(first, length)
+            counts = pa.array(np.bincount(number, minlength=len(first)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([langs, texts, counts], names=["lang", "phrase", "n"])
+
+    counted = relation.mapInArrow(run, "lang string, phrase string, n long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+
+
 def frequent_phrases(docs: DataFrame, scratch: Scratch, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, bits: int = FILTER_BITS, chunk_words: int = CHUNK_WORDS) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of every length from 1 on (``lang``, ``phrase``, ``f``), and ``n``, the words of each language."""
     relation = scratch.write(occurrences(docs), "occurrences")
-    totals = scratch.write(relation.groupBy("lang").agg(F.sum(F.size("at")).alias("n")), "words")
+    totals = scratch.write(relation.groupBy("lang").agg(F.sum("n").alias("n")), "words")
     levels = []
     for length in range(1, max_words + 1):
+        bitmap = frequent_bitmap(relation, length, min_count, bits, chunk_words)
+        joined = scratch.write(keep_frequent(relation, length, bitmap, bits, chunk_words), f"occurrences-{length}")
+        scratch.drop(relation)
+        bitmap.unpersist()
+        relation = joined
         levels.append(scratch.write(count_phrases(relation, length, min_count, chunk_words), f"phrases-{length}"))
-        if length < max_words:
-            bitmap = frequent_bitmap(levels[-1], bits)
-            longer = scratch.write(keep_frequent(relation, length, bitmap, bits, chunk_words), f"occurrences-{length}")
-            scratch.drop(relation)
-            relation = longer
     scratch.drop(relation)
     return levels, totals
 
