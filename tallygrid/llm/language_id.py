@@ -171,8 +171,28 @@ def prediction(profiles: Profiles, spark) -> Callable[[Column], Column]:
     return judge
 
 
-def reject_unknown(docs: DataFrame, profiles: Profiles, text_col: str = "text", min_score: float = 0.05) -> DataFrame:
+#: the share of labelled texts that may score below the mark, and how far below it a text of a learned language may still lie
+LOW_SHARE, SLACK = 0.001, 0.85
+
+
+def least_score(docs: DataFrame, profiles: Profiles, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 5_000) -> float:
+    """The score below which a text is in none of the learned languages: ``SLACK`` times what all but ``LOW_SHARE`` of the labelled
+    texts reach, of at most about ``fit_rows`` drawn for each language. Without such texts, 0."""
+    labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows_of = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
+    if not rows_of:
+        return 0.0
+    share = F.create_map(*[F.lit(x) for lang, n in rows_of.items() for x in (lang, min(1.0, fit_rows / n))])
+    drawn = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
+    scored = predict(drawn, profiles, id_col, text_col).where(F.col("lang_pred") != UNKNOWN)
+    mark = scored.agg(F.percentile_approx("score", LOW_SHARE, 10_000).alias("mark")).first()["mark"]
+    return SLACK * (mark or 0.0)
+
+
+def reject_unknown(docs: DataFrame, profiles: Profiles, min_score: float = 0.05, text_col: str = "text") -> DataFrame:
     """The documents, all columns as they were, without those that are in none of the learned languages:
-    no letters, or hardly any n-gram near its place in any profile."""
-    judged = docs.withColumn("_judged", prediction(profiles, docs.sparkSession)(F.col(text_col)))
-    return judged.where((F.col("_judged.lang_pred") != UNKNOWN) & (F.col("_judged.score") >= min_score)).drop("_judged")
+    no letters, or a score below ``min_score`` (see ``least_score``)."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    judged = docs.select(F.struct(*columns).alias("_row"), prediction(profiles, docs.sparkSession)(F.col(f"`{text_col}`")).alias("_judged"))
+    kept = judged.where((F.col("_judged.lang_pred") != UNKNOWN) & (F.col("_judged.score") >= min_score))
+    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

@@ -192,6 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, fit_rows: int = FI
     """A model learned from the labelled documents where ``training`` (over the labels' columns) holds."""
     drawn = F.broadcast(draw(labels, training, fit_rows, id_col, label_col))  # about 2 * fit_rows rows at most
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(drawn, "doc_id")
+    # an id may stand for any number of rows: one of its texts is taken, the one of the least hash
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    texts = texts.groupBy("doc_id", "label", "weight").agg(first).select("doc_id", "label", "weight", "first.text")
     sample = staged(texts, "toxicity-sample").repartition(2 * sample_parts(docs), "doc_id")
     lexicon = learn_lexicon(sample)
     if not lexicon.n_pos or not lexicon.n_neg:

@@ -297,3 +297,55 @@ def test_fold_is_the_crc_of_the_id(llm_spark):
 
     rows = llm_spark.range(50).select("id", fold("id", 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
+
+
+def test_toxicity_sample_is_bounded_when_one_id_has_most_rows(llm_spark, documents):
+    rows = [(7, f"you silly fool number {i}") for i in range(400)] + [(i, f"plain words {i}") for i in range(10, 40)]
+    labels = llm_spark.createDataFrame([(7, 1, 1)] + [(i, 1, int(i % 3 == 0)) for i in range(10, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = toxicity.learn_lexicon
+    try:
+        toxicity.learn_lexicon = lambda sample, *rest: seen.append(sorted((r["doc_id"], r["text"]) for r in sample.collect())) or real(sample, *rest)
+        for order in (rows, rows[::-1]):
+            toxicity.fit(documents(order), labels, F.lit(True))
+    finally:
+        toxicity.learn_lexicon = real
+    assert [i for i, _ in seen[0]] == [7, *range(10, 40)] and seen[0] == seen[1]
+
+
+def test_lexicon_and_features_like_a_plain_count(llm_spark):
+    docs = read_table(llm_spark, SF, "documents").join(read_table(llm_spark, SF, "labels").select("doc_id", F.col("toxic").cast("int").alias("label")), "doc_id")
+    rows = [(r["doc_id"], r["text"], r["label"]) for r in docs.collect()]
+    counts = {0: {}, 1: {}}
+    for _, text, label in rows:
+        for entry in set(toxicity.text_entries(text or "")):
+            counts[label][entry] = counts[label].get(entry, 0) + 1
+    n_pos, n_neg = sum(label == 1 for *_, label in rows), sum(label == 0 for *_, label in rows)
+    odds = {}
+    for entry, pos in counts[1].items():
+        neg = counts[0].get(entry, 0)
+        value = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
+        if pos >= 3 and value >= toxicity.LEAST_WEIGHT:
+            odds[entry] = (pos, neg, value)
+    wanted = sorted(odds, key=lambda e: (-odds[e][2] * np.sqrt(odds[e][0]), e))[: toxicity.LEXICON_SIZE]
+    lexicon = toxicity.learn_lexicon(docs.select("text", "label"))
+    assert (lexicon.n_pos, lexicon.n_neg) == (n_pos, n_neg) and n_pos > 3
+    assert lexicon.counts == {e: odds[e][:2] for e in wanted}
+    made = {r["doc_id"]: r["features"].toArray().tolist() for r in toxicity.with_features(docs.select("doc_id", "text"), lexicon, "doc_id").collect()}
+    weight = lambda word: max([0.0, *(odds[e][2] for e in toxicity.entries(word) if e in wanted_set)])
+    wanted_set, you = set(wanted), toxicity.SECOND_PERSON
+    for doc_id, text, _ in rows:
+        got = dict(zip(toxicity.FEATURES, made[doc_id]))
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        raw, n, chars = WORD.findall(text or ""), max(len(words), 1), max(len(text or ""), 1)
+        weights = [weight(w) for w in words]
+        strong = [i for i, w in enumerate(weights) if w >= toxicity.STRONG]
+        plain = {
+            "log_words": np.log1p(len(words)), "strongest": max(weights, default=0.0), "weight_density": sum(weights) / n,
+            "strong_entries": np.log1p(len({words[i] for i in strong})), "strong_density": len(strong) / n,
+            "near_second_person": np.log1p(sum(any(w in you for w in words[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i in strong)),
+            "second_person_rate": sum(w in you for w in words) / n, "capitals": sum(c.isupper() for c in text or "") / chars,
+            "capital_words": sum(w.isupper() for w in raw) / max(len(raw), 1), "exclamations": (text or "").count("!") / chars,
+            "punctuation": sum(c in ".,;:!?*#$%&|" for c in text or "") / chars,
+        }
+        assert {name: got[name] for name in plain} == pytest.approx(plain), doc_id
