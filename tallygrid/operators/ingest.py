@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallygrid.fixed_values import MAX_BATCH_EVENTS, MAX_NAME_LENGTH, MAX_PROPERTIES_LENGTH
 from tallygrid.functions.checks import failed, split_by_reasons
@@ -174,7 +174,8 @@ def check_batches(
     time_field: str = "event_time",
     received_at: Column | None = None,
 ) -> DataFrame:
-    """Every incoming event once, complete if acceptable, with ``reasons`` and ``raw`` if not."""
+    """Every incoming event once, complete if acceptable, with ``reasons`` and ``raw`` if not. Equal lines get equal ids;
+    ``unique_ids`` tells them apart within a load."""
     rows = mark_clients(explode_batches(parse_batches(lines), policy, time_field), registry)
     # an envelope that cannot be read has no key to judge
     readable = ~F.array_contains("reasons", MALFORMED)
@@ -183,6 +184,23 @@ def check_batches(
     return apply_defaults(rows, received_at).select(*EVENT_COLUMNS, "reasons", "raw")
 
 
+def unique_ids(rows: DataFrame, load: str) -> DataFrame:
+    """The rows of one load with ids of their own: a hash of the load, the id from ``check_batches`` and the number among equal ones.
+
+    Equal lines of a load have equal ids before; their copies are told apart by numbers from 1 on, so a repeat of the load gives
+    the same ids. Copies are counted by task first: one line that makes up most of a load is numbered by all tasks."""
+    placed = rows.withColumn("_task", F.spark_partition_id())
+    counts = placed.groupBy("id", "_task").agg(F.count("*").alias("_n"))
+    ids = Window.partitionBy("id")
+    repeated = counts.withColumns({"_all": F.sum("_n").over(ids), "_before": F.sum("_n").over(ids.orderBy("_task")) - F.col("_n")}).where("_all > 1")
+    copies = placed.join(repeated.select("id", "_task", "_before"), ["id", "_task"])
+    numbered = copies.withColumn("_copy", F.col("_before") + F.row_number().over(Window.partitionBy("id", "_task").orderBy("id")))
+    single = placed.join(repeated.select("id", "_task"), ["id", "_task"], "left_anti").withColumn("_copy", F.lit(1).cast("bigint"))
+    own = F.md5(F.concat_ws("|", F.lit(load), "id", "_copy"))
+    every = single.select(*rows.columns, "_copy").unionByName(numbered.select(*rows.columns, "_copy"))
+    return every.withColumn("id", own).drop("_copy")
+
+
 def accepted(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("reasons") == 0).select(*EVENT_COLUMNS)
 

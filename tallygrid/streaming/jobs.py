@@ -109,8 +109,8 @@ def stream_ingest(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         load = f"{name or query_id(batch.sparkSession, checkpoint)}-{batch_id}"
-        batch = batch.withColumn("id", F.md5(F.concat_ws("|", F.lit(load), "id"))).persist()
-        storage.append_events(ingest.accepted(batch), events_path, load)
+        batch.persist()
+        storage.append_events(ingest.unique_ids(ingest.accepted(batch), load), events_path, load)
         ingest.quarantined(batch).write.mode("overwrite").parquet(f"{quarantine_path}/load={load}")
         batch.unpersist()
 

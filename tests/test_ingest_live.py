@@ -176,3 +176,12 @@ def test_csv_survives_quotes(spark, make_events):
     exports.export_feed_csv(df.coalesce(1), feed)
     with open(glob.glob(f"{feed}/part-*.csv")[0], newline="") as file:
         assert [list(r) for r in csv.reader(file)][0] == ["Timestamp", "Event Name", "User ID", "Properties"]
+
+
+def test_equal_lines_have_ids_of_their_own(spark, make_events):
+    rows = make_events([("a", "u", "view", "2024-01-01")] * 40 + [("a", f"u{i}", "view", "2024-01-01") for i in range(20)])
+    same = F.when(F.col("id").cast("int") < 40, "line").otherwise(F.col("id"))
+    load = rows.withColumn("id", same).repartition(5)
+    ids = [[r["id"] for r in ingest.unique_ids(frame, name).collect()] for frame, name in ((load, "one"), (load.repartition(3), "one"), (load, "two"))]
+    assert all(len(set(own)) == 60 for own in ids)
+    assert set(ids[0]) == set(ids[1]) and not set(ids[0]) & set(ids[2])
