@@ -28,9 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallygrid.llm.common import WORD, split_by_filter, staged
+from tallygrid.llm.common import WORD, Scratch, split_by_filter, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -130,15 +130,18 @@ def _token_at(coordinate: Column) -> Column:
     return F.substring(F.col("sketch"), coordinate * 4 + 1, F.lit(4))
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Rows (``path``, ``sid``, ...) of the paths that more than one set took, with that number as ``n``."""
-    return rows.join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path")
+def _met(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (``path``, ``sid``, ...) of the paths that more than one set took, with that number as ``n``.
 
+    The numbers are written first: joined with a table, a path that very many sets took is split between tasks."""
+    taken = scratch.write(rows, "taken")
+    return taken.join(scratch.write(taken.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts"), "path")
 
-def choose_leaves(nodes: DataFrame, runs: int, levels: int = LEVELS, branches: int = BRANCHES, block: int = BLOCK, dense: float = DENSE, coordinates: int = COORDINATES) -> DataFrame:
+
+def choose_leaves(nodes: DataFrame, runs: int, scratch: Scratch, levels: int = LEVELS, branches: int = BRANCHES, block: int = BLOCK, dense: float = DENSE, coordinates: int = COORDINATES) -> DataFrame:
     """The recursion, level by level: ``leaf``, ``sid`` and ``n`` (sets in the leaf)."""
     starts = F.array(*[F.xxhash64(F.lit(r), _token_at(F.lit(r))) for r in range(runs)])
-    waiting = staged(_met(nodes.select("sid", F.explode(starts).alias("path"))), "paths")
+    waiting = scratch.write(_met(nodes.select("sid", F.explode(starts).alias("path")), scratch), "paths")
     own = (coordinates - runs) // levels  # coordinates that a level may sample
     leaves = waiting.where(F.col("n") <= block)
     for level in range(levels):
@@ -149,10 +152,11 @@ def choose_leaves(nodes: DataFrame, runs: int, levels: int = LEVELS, branches: i
         picks = F.transform(F.sequence(F.lit(0), F.lit(min(branches, own) - 1)), lambda j: (first + j) % own + (runs + level * own))
         children = large.select(F.col("path").alias("parent"), F.col("n").alias("parent_n"), "sid").join(nodes.select("sid", "sketch"), "sid")
         children = children.withColumn("pick", F.explode(picks)).withColumn("path", F.xxhash64("parent", "pick", _token_at(F.col("pick"))))
-        children = staged(_met(children.select("parent", "parent_n", "sid", "path")), "paths")
+        children = scratch.write(_met(children.select("parent", "parent_n", "sid", "path"), scratch), "paths")
         alike = children.groupBy("parent", "parent_n").agg(F.max("n").alias("most")).where(F.col("most") >= dense * F.col("parent_n")).select("parent")
+        alike = scratch.write(alike, "alike")  # written for the same reason
         whole = large.join(alike.withColumnRenamed("parent", "path"), "path")
-        waiting = staged(children.join(alike, "parent", "left_anti").select("path", "sid", "n"), "paths")
+        waiting = scratch.write(children.join(alike, "parent", "left_anti").select("path", "sid", "n"), "paths")
         leaves = leaves.unionByName(whole.select("path", "sid", "n")).unionByName(waiting.where(F.col("n") <= block).select("path", "sid", "n"))
     # what is still large after the last level is compared as it is, in blocks
     return leaves.unionByName(waiting.where(F.col("n") > block).select("path", "sid", "n")).select(F.col("path").alias("leaf"), "sid", "n")
@@ -309,9 +313,10 @@ def token_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s
     return sets.join(wanted, ["doc_id", "sid"]).select("sid", "sketch", "copies", "tokens")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) of edges (``a``, ``b``), by alternating stars."""
-    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    scratch = scratch or Scratch(edges.sparkSession)
+    edges = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -320,7 +325,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = staged(small, "stars")
+        edges = scratch.write(small, "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -329,25 +334,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, similarity: float, size: int, miss: float, block: int, id_col: str, text_col: str) -> DataFrame:
     """``join`` with ``sid`` and ``first_sid``, the set that the class's least id stands for (the least of its sets in the class)."""
+    scratch = Scratch(docs.sparkSession)
     runs, least = runs_for(similarity, miss), least_agreeing(similarity)
-    rows = staged(signatures(docs, id_col, text_col, size), "signatures")
-    nodes = staged(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
-    placed = staged(units(staged(choose_leaves(nodes, runs, block=block), "leaves"), block), "units")
-    proposed = staged(propose(placed.join(nodes.select("sid", "sketch"), "sid"), least), "proposed")
+    rows = scratch.write(signatures(docs, id_col, text_col, size), "signatures")
+    nodes = scratch.write(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
+    leaves = scratch.write(choose_leaves(nodes, runs, scratch, block=block), "leaves")
+    scratch.keep(rows, nodes, leaves)
+    placed = scratch.write(units(leaves, block), "units")
+    proposed = scratch.write(propose(placed.join(nodes.select("sid", "sketch"), "sid"), least), "proposed")
     wanted = nodes.join(proposed.select("sid").distinct(), "sid")
-    tokens = staged(token_sets(docs, wanted, id_col, text_col, size), "tokens")
-    confirmed = staged(confirm(proposed.join(tokens, "sid"), least, similarity), "confirmed")
+    tokens = scratch.write(token_sets(docs, wanted, id_col, text_col, size), "tokens")
+    confirmed = scratch.write(confirm(proposed.join(tokens, "sid"), least, similarity), "confirmed")
+    scratch.keep(rows, nodes, confirmed)
     links = confirmed.groupBy("sid").agg(F.sum("links").alias("links"))
-    roots = components(confirmed.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    roots = components(confirmed.select(F.col("sid").alias("a"), F.col("root").alias("b")), scratch)
     named = nodes.join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.select("sid", "copies", "doc_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root"))
     classes = named.groupBy("root").agg(F.min(F.struct("doc_id", "sid")).alias("first"), F.sum("copies").alias("class_size"))
-    classes = classes.select("root", F.col("first.doc_id").alias("class_id"), F.col("first.sid").alias("first_sid"), "class_size")
+    classes = classes.where("class_size > 1").select("root", F.col("first.doc_id").alias("class_id"), F.col("first.sid").alias("first_sid"), "class_size")
     known = named.join(classes, "root").select("sid", "class_id", "first_sid", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "sid").join(known, "sid", "left").select(
+    known = scratch.write(known, "known")
+    scratch.keep(rows, known)
+    # rows without a word, and those alone in their class, need no join
+    some, others = split_by_filter(rows.select("doc_id", "sid"), known.select("sid"), "sid")
+    joined = some.join(known, "sid", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "sid", "first_sid",
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "sid", F.coalesce("first_sid", "sid").alias("first_sid"),
     )
+    alone = others.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"), "sid", F.col("sid").alias("first_sid"))
+    return joined.unionByName(alone)
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, miss: float = TARGET_MISS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,22 +384,25 @@ def _sid_of(size: int):
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns as they were, with only one row of each class, of its least id; rows without an id, or
-    without a word, stay. An id may stand for several texts: each row is judged by its id and its own set."""
+    """The documents, all columns as they were, with only one row of each class, of its least id (of its several rows with equal
+    sets, the first in the order of their columns as JSON text); rows without an id, or without a word, stay. An id may stand for several texts: each row is judged by its id and its own set."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     classes = staged(_classes(docs, similarity, SHINGLE, TARGET_MISS, BLOCK, id_col, text_col).where("class_size > 1"), "classes")
     is_first = (F.col("doc_id") == F.col("class_id")) & (F.col("sid") == F.col("first_sid"))
     pairs = classes.groupBy(F.col("doc_id").alias("_id"), F.col("sid").alias("_sid")).agg(F.min(is_first).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     meant = staged(pairs.where("NOT _first OR _rows > 1"), "meant")
     repeated = meant.where("_first")
+    # the documents as one column each, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
-    def with_set(rows: DataFrame) -> DataFrame:
-        key = F.col(id_col).cast("long")
-        return rows.withColumn("_id", key).withColumn("_sid", _sid_of(SHINGLE)(key, F.col(text_col)))
+    def with_set(some: DataFrame) -> DataFrame:
+        return some.withColumn("_sid", _sid_of(SHINGLE)(F.col("_id"), F.col("_text")))
 
     # only rows that may be meant are read again and travel to an exact join; the others stay where they are
-    some, others = split_by_filter(docs, meant.select("_id"), id_col)
+    some, others = split_by_filter(rows, meant.select("_id"), "_id")
     once = with_set(some).join(meant, ["_id", "_sid"], "left_anti")
-    again = split_by_filter(docs, repeated.select("_id"), id_col)[0]
-    twice = with_set(again).join(repeated, ["_id", "_sid"], "left_semi").dropDuplicates(["_id", "_sid"])
-    return others.unionByName(once.select(*columns)).unionByName(twice.select(*columns))
+    again = split_by_filter(rows, repeated.select("_id"), "_id")[0]
+    order = Window.partitionBy("_id", "_sid").orderBy(F.to_json("_row"))  # which row stays depends on the rows alone
+    twice = with_set(again).join(repeated, ["_id", "_sid"], "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    kept = others.select("_row").unionByName(once.select("_row")).unionByName(twice.select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

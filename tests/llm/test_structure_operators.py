@@ -223,6 +223,37 @@ def test_tree_groups_leave_results_alone(llm_spark):
     assert key(kmeans_tree.look_up(index, kmeans_tree.visit(queries, tree, tree.leaves), 5, group_rows=7)) == exact
 
 
+def plain_neighbours(rows, is_query, k):
+    """Ids by the best pair of their vectors."""
+    best = defaultdict(dict)
+    for q, a in rows:
+        if is_query(q):
+            for c, b in rows:
+                if c != q:
+                    score = sum(x * y for x, y in zip(a, b))
+                    best[q][c] = max(best[q].get(c, score), score)
+    return sorted((q, rank, c, s) for q, held in best.items() for rank, (c, s) in enumerate(sorted(held.items(), key=lambda m: (-m[1], m[0]))[:k], 1))
+
+
+def test_a_repeated_id_takes_one_place(llm_spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, i / 128]) for i in range(30)] + [(i, [0.5, i / 128]) for i in range(2, 42)]
+    got = kmeans_tree.search(vectors(llm_spark, [(*r, 0, "") for r in rows]), F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, got)) == plain_neighbours(rows, lambda i: i == 0, 20) and len(got) == 20
+
+
+def test_repeated_ids_like_brute_force(llm_spark):
+    random_ = np.random.default_rng(4)
+    rows = [(int(i), (v / 4).tolist()) for i, v in zip(random_.integers(0, 120, 500), random_.integers(-40, 41, (500, 3)))]
+    table = vectors(llm_spark, [(*r, 0, "") for r in rows + rows[:40]])
+    used = kmeans_tree.usable(table, "vec_id", "embedding", None)
+    tree, index = kmeans_tree.build(used, 9, leaf_rows=30)
+    queries = used.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")).distinct()
+    wanted = plain_neighbours([r for r in rows if any(r[1])], lambda i: i % 20 == 0, 9)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert tree.leaves > 4 and key(kmeans_tree.brute_force(index, queries, 9)) == wanted
+    assert key(kmeans_tree.look_up(index, kmeans_tree.visit(queries, tree, tree.leaves), 9, group_rows=11, block_rows=3)) == wanted
+
+
 def plain_plan(counts, shards):
     """Rows one by one: home first, then on clockwise."""
     nodes = ring_sharding.ring(shards, 8, 64)
@@ -272,3 +303,12 @@ def test_most_rows_stay_when_a_shard_comes(llm_spark):
     home = lambda shards: {(p[0], i): p[4] for p in ring_sharding.plan(counts, shards) for i in range(p[2], p[3])}
     before, after = home(24), home(25)
     assert sum(before[k] != after[k] for k in before) < 0.35 * len(before)
+
+
+def test_rows_of_one_id_and_set_keep_the_same_row_in_any_order(llm_spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, f"s{i}", i) for i in (3, 1, 2)] + [(5, text.replace(" ", "  "), "s0", 9), (8, text, "s0", 0), (None, text, "s7", 1), (6, None, "s8", 2)]
+    schema = "doc_id long, text string, source string, _place int"
+    for order in (rows, rows[::-1]):
+        kept = chosen_path.keep_one(llm_spark.createDataFrame(order, schema).repartition(3))
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(5, text.replace(" ", "  "), "s0", 9), (None, text, "s7", 1), (6, None, "s8", 2)], key=repr)
