@@ -7,7 +7,7 @@ start side by side in a piece stand side by side on a line, so the merge join th
 each line once and never leaves a row. The groups are counted, the joined relation is semi-joined with the frequent ones, which breaks
 its lines where an occurrence is not frequent, and written for the next length.
 
-Groups are counted twice. First by a 64-bit hash of language and words: a hash that comes up less than ``min_count`` times stands for no
+Groups are counted twice. First by a short hash of language and words: a hash that comes up less than ``min_count`` times stands for no
 frequent phrase, and what is left is put into a bitmap of fixed size that is sent to the tasks for the semi-join. Then
 the phrases themselves, in the relation that is left. The semi-join never misses a frequent phrase; an occurrence that it lets
 through by chance costs room and is counted like any other, and exact counts below ``min_count`` fall out. So every
@@ -48,6 +48,10 @@ COVER = 100
 TOP = 2000
 #: words that a task codes at once
 CHUNK_WORDS = 1_000_000
+#: bits of the hashes that groups are counted by first; two phrases with one hash only let more through
+HASH_BITS = 40
+#: groups whose counts a task holds before it hands them on
+HELD_GROUPS = 2_000_000
 #: bits of the semi-join's bitmap, whatever the number of phrases
 FILTER_BITS = 1 << 26
 _BITMAP = 32_768  # positions in one value of bitmap_construct_agg
@@ -119,7 +123,7 @@ class Chunk:
         return lang * vocabulary + words.indices.to_numpy(zero_copy_only=False), vocabulary * max(len(langs.dictionary), 1)
 
     def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """A 64-bit hash of the language and the words of each occurrence, the same in every task."""
+        """A hash of ``HASH_BITS`` bits of the language and the words of each occurrence, the same in every task."""
         digests = lambda texts: np.array([xxhash.xxh3_64_intdigest(t) for t in texts.cast(pa.binary()).to_pylist()], dtype=np.uint64)
         langs, words = self.langs.dictionary_encode(), self.words.dictionary_encode()
         word = digests(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
@@ -127,7 +131,7 @@ class Chunk:
         for ahead in range(length):
             made = (made ^ word[starts + ahead]) * _MIX
             made ^= made >> np.uint64(29)
-        return made.view(np.int64)
+        return (made >> np.uint64(64 - HASH_BITS)).view(np.int64)
 
     def grouped(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each occurrence the number of its phrase, and for each phrase where it begins first."""
@@ -181,15 +185,42 @@ def chunks(batches: Iterator[pa.RecordBatch], chunk_words: int) -> Iterator[Chun
         yield made()
 
 
+def added(parts: Iterator[pa.Table], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The counts ``n`` of a task's chunks added up by key and in order of keys, in which they pack best; about ``HELD_GROUPS`` are held at most."""
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+
+    def handed(table: pa.Table) -> list[pa.RecordBatch]:
+        return table.sort_by([(key, "ascending") for key in keys]).to_batches(max_chunksize=50_000)
+
+    held: list[pa.Table] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += part.num_rows
+        if size >= HELD_GROUPS:
+            held = [summed(held)]
+            size = held[0].num_rows
+            if size >= HELD_GROUPS // 2:  # little falls together: hand them on
+                yield from handed(held[0])
+                held, size = [], 0
+    if held:
+        yield from handed(summed(held))
+
+
 def frequent_bitmap(relation: DataFrame, length: int, min_count: int = MIN_COUNT, bits: int = FILTER_BITS, chunk_words: int = CHUNK_WORDS) -> Broadcast:
     """A bitmap of the hashes that ``min_count`` or more occurrences of ``length`` words have, ``bits`` in size, on all tasks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for chunk in chunks(batches, chunk_words):
             number, distinct = pd.factorize(chunk.hashes(chunk.joined(length), length))
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(number, minlength=len(distinct)))], names=["hash", "n"])
+            yield pa.table({"hash": pa.array(distinct), "n": pa.array(np.bincount(number, minlength=len(distinct)).astype(np.int64))})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added(run(batches), ["hash"])
 
-    counted = relation.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    counted = relation.mapInArrow(summed, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     placed = counted.select(F.pmod("hash", F.lit(bits)).alias("at"))
     parts = placed.groupBy(F.floor(F.col("at") / _BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % _BITMAP).alias("bits"))
     bitmap = np.zeros(max(bits, _BITMAP) // 8, dtype=np.uint8)
@@ -217,14 +248,16 @@ def keep_frequent(relation: DataFrame, length: int, bitmap: Broadcast, bits: int
 def count_phrases(relation: DataFrame, length: int, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``lang``, ``phrase`` and ``f`` of the frequent phrases of ``length`` words, from their relation."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for chunk in chunks(batches, chunk_words):
             number, first = chunk.grouped(chunk.joined(length), length)
             langs, texts = chunk.phrases(first, length)
-            counts = pa.array(np.bincount(number, minlength=len(first)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([langs, texts, counts], names=["lang", "phrase", "n"])
+            yield pa.table({"lang": langs, "phrase": texts, "n": pa.array(np.bincount(number, minlength=len(first)).astype(np.int64))})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added(run(batches), ["lang", "phrase"])
 
-    counted = relation.mapInArrow(run, "lang string, phrase string, n long")
+    counted = relation.mapInArrow(summed, "lang string, phrase string, n long")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
 
 
