@@ -51,7 +51,7 @@ CHUNK_WORDS = 1_000_000
 #: bits of the hashes that groups are counted by first; two phrases with one hash only let more through
 HASH_BITS = 40
 #: groups whose counts a task holds before it hands them on
-HELD_GROUPS = 2_000_000
+HELD_GROUPS = 500_000
 #: bits of the semi-join's bitmap, whatever the number of phrases
 FILTER_BITS = 1 << 26
 _BITMAP = 32_768  # positions in one value of bitmap_construct_agg
