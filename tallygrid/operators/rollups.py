@@ -64,12 +64,17 @@ def rollup_minute(df: DataFrame, registry: DataFrame, tick: Instant, intervals:
         F.count("*").alias("count"), F.count_distinct("user_id").alias("users")
     )
     grid = _tenant_grid(registry, start, end, MINUTE).join(counted, keys, "left").fillna(0, ["count", "users"])
+    return minute_rows(grid, literal_time(tick))
+
+
+def minute_rows(wide: DataFrame, at_time: Column) -> DataFrame:
+    """Series rows of minutes with their ``count`` and ``users``."""
     rate = F.round(F.col("count") / F.lit(1.0), 2)
     return _as_aggregates(
-        grid,
+        wide,
         [("events_per_minute", rate, _count_meta()), ("active_users_1m", F.col("users"), F.lit("{}"))],
         MINUTE,
-        literal_time(tick),
+        at_time,
     )
 
 
@@ -82,20 +87,33 @@ def rollup_hour(df: DataFrame, registry: DataFrame, tick: Instant, intervals: in
     keys = ["client_id", "interval_start"]
     rows = _with_interval(df, start, end, HOUR)
     names = rank_names(rows.groupBy(*keys, "event_name").agg(F.count("*").alias("count")), keys, 10)
-    # one shuffle by tenant and hour for totals, names and the grid; distinct users come as one row a user
+    # distinct users come as one row a user
     people = rows.filter("user_id IS NOT NULL").groupBy(*keys, "user_id").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("users"))
-    none = F.lit(None)
+    grid = _tenant_grid(registry, start, end, HOUR)
+    return hour_rows(together(grid, rows.groupBy(*keys).agg(F.count("*").alias("count")), people, names), literal_time(tick))
+
+
+def together(grid: DataFrame, counts: DataFrame, users: DataFrame, names: DataFrame) -> DataFrame:
+    """Per interval of the grid its ``count``, ``users`` and ``ten`` ranked names, zeros included, by one shuffle."""
+    keys = ["client_id", "interval_start"]
     entry = "struct<rank: int, event_name: string, count: bigint, percentage: double>"
+    types = {"asked": "boolean", "count": "bigint", "users": "bigint", "name": entry}
+
+    def part(rows: DataFrame, name: str, value: Column) -> DataFrame:
+        return rows.select(*keys, *[(value if c == name else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()])
+
     parts = [
-        _tenant_grid(registry, start, end, HOUR).select(*keys, F.lit(True).alias("asked"), none.cast("bigint").alias("count"), none.cast("bigint").alias("users"), none.cast(entry).alias("name")),
-        rows.groupBy(*keys).agg(F.count("*").alias("count")).select(*keys, none.cast("boolean").alias("asked"), "count", none.cast("bigint").alias("users"), none.cast(entry).alias("name")),
-        people.select(*keys, none.cast("boolean").alias("asked"), none.cast("bigint").alias("count"), "users", none.cast(entry).alias("name")),
-        names.select(*keys, none.cast("boolean").alias("asked"), none.cast("bigint").alias("count"), none.cast("bigint").alias("users"), F.struct("rank", "event_name", "count", "percentage").cast(entry).alias("name")),
+        part(grid, "asked", F.lit(True)), part(counts, "count", F.col("count")), part(users, "users", F.col("users")),
+        part(names, "name", F.struct("rank", "event_name", "count", "percentage")),
     ]
-    wide = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
         F.max("asked").alias("asked"), F.coalesce(F.sum("count"), F.lit(0)).alias("count"), F.coalesce(F.sum("users"), F.lit(0)).alias("users"),
         F.sort_array(F.collect_list("name")).alias("ten"),  # at most ten
     ).where("asked")
+
+
+def hour_rows(wide: DataFrame, at_time: Column) -> DataFrame:
+    """Series rows of hours with their ``count``, ``users`` and ``ten`` ranked names."""
     listed = F.transform("ten", lambda e: F.struct(e["event_name"], e["count"], e["percentage"]))
     return _as_aggregates(
         wide,
@@ -105,7 +123,7 @@ def rollup_hour(df: DataFrame, registry: DataFrame, tick: Instant, intervals: in
             ("top_events_1h", F.size("ten"), F.to_json(F.struct(listed.alias("events")))),
         ],
         HOUR,
-        literal_time(tick),
+        at_time,
     )
 
 

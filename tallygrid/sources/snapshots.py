@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import asdict, dataclass, replace
 from datetime import timedelta
 from functools import reduce
@@ -52,6 +52,8 @@ class Segment:
 
 Change = Callable[[list[Segment]], list[Segment]]
 TRIES = 20
+#: segments of a day that are merged at the earliest, and how much larger than all newer ones together an older one may be to join
+MERGE_AT, SIZE_RATIO = 4, 2
 
 
 class SnapshotTable:
@@ -182,6 +184,25 @@ class SnapshotTable:
                 break
         return removed
 
+    def due(self, merge_at: int, size_ratio: int, spared: Collection[str] = ()) -> list[list[Segment]]:
+        """Runs of newest segments to merge, one for each day that has ``merge_at`` or more besides those of ``spared`` loads: from the
+        newest on, those at most ``size_ratio`` times as large as all newer ones together."""
+        by_day: dict[str, list[Segment]] = {}
+        for segment in self.segments():
+            if segment.load_id not in spared:
+                by_day.setdefault(segment.day, []).append(segment)
+        runs = []
+        for own in by_day.values():
+            if len(own) >= merge_at:
+                own.sort(key=lambda s: -s.order)
+                run = own[:2]
+                for segment in own[2:]:
+                    if segment.size > size_ratio * sum(s.size for s in run):
+                        break
+                    run.append(segment)
+                runs.append(run)
+        return runs
+
     def _swap(self, old: list[Segment], new: list[Segment]) -> int:
         """Replace segments by others, unless a writer changed them meanwhile."""
         out = set(old)
@@ -264,8 +285,6 @@ class EventLog(SnapshotTable):
 #: what an update may replace on an existing row; the rest it only sets on a new one
 REPLACEABLE = ("value", "meta_data", "updated_at")
 _BITS = {name: 1 << place for place, name in enumerate(REPLACEABLE)}
-#: segments of a day that are merged at the earliest, and how much larger than all newer ones together an older one may be to join
-MERGE_AT, SIZE_RATIO = 4, 2
 
 
 class SeriesLog(SnapshotTable):
@@ -316,24 +335,6 @@ class SeriesLog(SnapshotTable):
         rows = self.folded(self.chosen(self.segments(version), start, end))
         return rows.select(*[part.split()[0] for part in AGGREGATES.split(", ")], "interval_date")
 
-    def due(self, merge_at: int = MERGE_AT, size_ratio: int = SIZE_RATIO) -> list[list[Segment]]:
-        """Runs of newest segments to merge, one for each day that has ``merge_at`` or more: from the newest on, those at most ``size_ratio``
-        times as large as all newer ones together."""
-        by_day: dict[str, list[Segment]] = {}
-        for segment in self.segments():
-            by_day.setdefault(segment.day, []).append(segment)
-        runs = []
-        for own in by_day.values():
-            if len(own) >= merge_at:
-                own.sort(key=lambda s: -s.order)
-                run = own[:2]
-                for segment in own[2:]:
-                    if segment.size > size_ratio * sum(s.size for s in run):
-                        break
-                    run.append(segment)
-                runs.append(run)
-        return runs
-
     def compact(self, merge_at: int = MERGE_AT, size_ratio: int = SIZE_RATIO) -> int:
         """Merge the runs that are due. Loads inside them cannot be repeated in place any more: a repeat counts as newer."""
         runs = self.due(merge_at, size_ratio)

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallygrid.fixed_values import LIVE_TAIL_SIZE, RATE_WINDOW_SECONDS
-from tallygrid.functions.times import at
+from tallygrid.functions.times import Instant, at
 from tallygrid.operators import alerts, fanout, ingest, ratelimit
 from tallygrid.operators.filters import known_users, newest_per_group
 from tallygrid.operators.sessions import GAP, sessions
 from tallygrid.sources import storage
+from tallygrid.sources.buckets import BucketLog, fold_late
 from tallygrid.sources.readers import read_aggregates
 from tallygrid.sources.snapshots import SeriesLog
 
@@ -192,6 +193,24 @@ def stream_series_log(rows: DataFrame, path: str, checkpoint: str, compact_every
     return start(rows, handle, checkpoint, **options)
 
 
+def stream_late_rollups(
+    events: DataFrame, log_path: str, series_path: str, registry: DataFrame, tick: Instant, checkpoint: str, compact_every: int = 8, **options
+) -> StreamingQuery:
+    """Roll up a stream by hour without a watermark: each micro-batch adds its signed changes to a ``BucketLog`` and renews the hours that it
+    touches in a ``SeriesLog``, however late its events are. A re-run changes nothing; the batch at hand is never merged."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        log, series = BucketLog(spark, log_path), SeriesLog(spark, series_path)
+        load = f"{query_id(spark, checkpoint)}-{batch_id}"
+        fold_late(log, series, batch, load, registry, tick)
+        if (batch_id + 1) % compact_every == 0:
+            log.compact(spared={load})
+            series.compact()
+
+    return start(events, handle, checkpoint, **options)
+
+
 # --- sessions ---------------------------------------------------------------------------
 
 
