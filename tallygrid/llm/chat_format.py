@@ -10,22 +10,26 @@ begins, -1 where it ends. Control strings occurring in roles and texts are escap
 between ``<`` and ``|``, behind any that stand there already (``<|`` becomes ``<\\|``, ``<\\|`` becomes
 ``<\\\\|``), so taking one away again restores the text, and no content looks like control.
 
-Turns are encoded row by row before conversations meet; a conversation then only joins its
-finished turns, ordered by turn (ties by role, then text).
+Turns are encoded row by row before conversations meet, and each says by itself which turn it is, so a conversation is
+its formatted turns in order: by turn, ties by role, then text. ``ordered_turns`` keeps them as rows, sorted and never collected;
+``fold_conversations`` reads these rows back one after the other with the memory of a batch, however long a conversation is.
 
 Defined cases: a null text or role is the empty text; null turns come first; rows with the null
 conversation id form one conversation; repeated rows are repeated turns; an empty table
-gives an empty result; other columns are ignored. Conversations are small (one dialogue): the turns of
-one are in one row of the result.
+gives an empty result; other columns are ignored. ``assemble_conversations`` puts the ids of one conversation into one value, as a
+trainer wants them; a value holds at most 2 GB, about 500 million ids, and its task needs several times its size. Longer
+conversations stay rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallygrid.llm.byte_bpe import decode_ids, encode_text, encoding_of, read_ranks
 from tallygrid.llm.common import by_batch
@@ -88,10 +92,15 @@ def format_turns(rows: DataFrame, path: str, pattern: str, conv_col: str = "conv
 
 def assemble_conversations(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``ids`` and ``mask`` of whole conversations."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "ids", "mask")))
-    joined = turns.groupBy("conv_id").agg(ordered.alias("turns"))
-    join = lambda part: F.unhex(F.array_join(F.transform("turns", lambda t: F.hex(t[part])), ""))
-    return joined.select("conv_id", join("ids").alias("ids"), join("mask").alias("mask"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = turns.select("conv_id", "ids", "mask", F.row_number().over(order).alias("place"))
+    join = lambda part: F.expr(f"listagg({part}, X'') WITHIN GROUP (ORDER BY place)").alias(part)
+    return placed.groupBy("conv_id").agg(join("ids"), join("mask"))
+
+
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """Formatted turns as rows: those of a conversation in one partition, in order. Sorting spills, nothing is collected."""
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "mask")
 
 
 def parse(encoding, ids: np.ndarray, mask: np.ndarray) -> tuple[str, list[tuple[str, str]], list[str]]:
@@ -134,3 +143,54 @@ def read_back(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
 
     ddl = "conv_id long, formatted string, turns array<struct<role: string, text: string>>, loss_texts array<string>"
     return conversations.select("conv_id", "ids", "mask").mapInArrow(by_batch(decode, schema), ddl)
+
+
+class Digest:
+    """What the turns of one conversation say, in order, without keeping them."""
+
+    def __init__(self):
+        self.n_turns = self.loss_chars = self.formatted_chars = self.n_ids = 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, formatted: str, turns: list[tuple[str, str]], lost: list[str], n_ids: int) -> None:
+        self.n_turns += len(turns)
+        self.n_ids += n_ids
+        self.formatted_chars += len(formatted)
+        for role, text in turns:
+            self.said.update(f"{role}\n{text}\n".encode())
+        for text in lost:
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+
+    def row(self, conv_id: int | None) -> tuple:
+        return conv_id, self.n_turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.n_ids
+
+
+def fold_conversations(ordered: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``ordered_turns`` decoded and folded: ``conv_id``, ``n_turns``, ``turns_sha256`` (role, line feed, text, line feed per turn),
+    ``loss_chars`` and ``loss_sha256`` (all text under the mask), ``formatted_chars`` and ``n_ids``."""
+    ranks = ordered.sparkSession.sparkContext.broadcast(read_ranks(path))
+    kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_ids", pa.int64())]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(columns, kinds)], schema=pa.schema(kinds))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = encoding_of(ranks.value, pattern)
+        current, digest = None, None
+        for batch in batches:
+            done = []
+            for conv_id, ids, mask in zip(*(batch.column(name) for name in ("conv_id", "ids", "mask"))):
+                if digest is None or conv_id.as_py() != current:
+                    if digest is not None:
+                        done.append(digest.row(current))
+                    current, digest = conv_id.as_py(), Digest()
+                turn = np.frombuffer(ids.as_buffer(), "<u4").astype(np.int64)
+                digest.add(*parse(encoding, turn, np.frombuffer(mask.as_buffer(), np.uint8).astype(bool)), len(turn))
+            yield table(done)
+        if digest is not None:
+            yield table([digest.row(current)])
+
+    ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long"
+    return ordered.select("conv_id", "ids", "mask").mapInArrow(fold, ddl)

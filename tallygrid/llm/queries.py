@@ -88,13 +88,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    formatted = chat_format.assemble_conversations(chat_format.format_turns(rows, path, public_tokenizers.PATTERN))
-    lost = F.array_join("loss_texts", "")
-    said_all = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return chat_format.read_back(formatted, path, public_tokenizers.PATTERN).select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_all.cast("binary"), 256).alias("turns_sha256"),
-        F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost.cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+    turns = chat_format.ordered_turns(chat_format.format_turns(rows, path, public_tokenizers.PATTERN))
+    return chat_format.fold_conversations(turns, path, public_tokenizers.PATTERN).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
 
 

@@ -1,5 +1,6 @@
 """Chat formatting, near copies, packing, nearest neighbours, sharding and the pipeline."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -47,6 +48,31 @@ def test_conversations_come_back(llm_spark):
     assert chat_format.assemble_conversations(chat_format.format_turns(empty, RANKS, PATTERN)).count() == 0
 
 
+def plain_digest(turns):
+    said = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+    lost = "".join(text for role, text in turns if role == "assistant")
+    return len(turns), said, len(lost), hashlib.sha256(lost.encode()).hexdigest()
+
+
+def test_folded_rows_say_what_the_turns_said(llm_spark):
+    """A conversation far longer than a batch, one with ties, repeats and nulls, one without an id, one of empty texts."""
+    long = [(1, n, "assistant" if n % 2 else "user", f"<|end|> number {n}") for n in range(2500)]
+    odd = [(2, None, None, "first"), (2, 1, "user", "b"), (2, 1, "user", "a"), (2, 1, "assistant", "<\\|end|>"), (2, 1, "user", "a"), (3, 0, "assistant", None)]
+    rows = long + odd + [(None, 0, "assistant", "no id")]
+    table = llm_spark.createDataFrame(random.Random(3).sample(rows, len(rows)), "conv_id long, turn long, role string, text string")
+    turns = chat_format.format_turns(table, RANKS, PATTERN)
+    folded = {r.conv_id: r for r in chat_format.fold_conversations(chat_format.ordered_turns(turns), RANKS, PATTERN).collect()}
+    whole = {r.conv_id: r for r in chat_format.read_back(chat_format.assemble_conversations(turns), RANKS, PATTERN).collect()}
+    assert set(folded) == set(whole) == {1, 2, 3, None}
+    for conv_id, row in folded.items():
+        own = sorted(((-1 if t is None else t), r or "", x or "") for c, t, r, x in rows if c == conv_id)
+        said = [(role, text) for _, role, text in own]
+        assert (row.n_turns, row.turns_sha256, row.loss_chars, row.loss_sha256) == plain_digest(said)
+        assert [tuple(t) for t in whole[conv_id].turns] == said
+        assert row.formatted_chars == len(whole[conv_id].formatted)
+    assert chat_format.fold_conversations(chat_format.ordered_turns(turns.limit(0)), RANKS, PATTERN).count() == 0
+
+
 def edited(words, chance, share):
     return [chance.choice("pqrs") + str(chance.randrange(99)) if chance.random() < share else w for w in words]
 
