@@ -56,6 +56,9 @@ def floor_time(moment: Column, seconds: int) -> Column:
 def iso_text(moment: Column) -> Column:
     """ISO 8601 text in UTC, with microseconds only when there are any."""
     whole = F.unix_micros(moment) % 1000000 == 0
-    return F.when(whole, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(
-        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
-    )
+    return F.when(whole, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(iso_micros(moment))
+
+
+def iso_micros(moment: Column) -> Column:
+    """ISO 8601 text in UTC, always with six digits after the second."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")

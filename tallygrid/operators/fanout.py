@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallygrid.fixed_values import DEFAULT_CHANNELS, LIVE_TAIL_SIZE, NOTICE_CHANNEL, NOTICE_DELIVERY_CHANNEL
-from tallygrid.functions.times import iso_text
+from tallygrid.functions.times import iso_micros, iso_text
 from tallygrid.operators.filters import newest_per_group
 
 _JSON = {"ignoreNullFields": "false"}
@@ -15,25 +17,26 @@ def _message(channel: str, body: Column) -> list[Column]:
     return [F.col("client_id"), F.lit(channel).alias("channel"), F.to_json(body, _JSON).alias("message")]
 
 
-def _event_body() -> Column:
+def _event_body(as_text: Callable[[Column], Column]) -> Column:
     return F.struct(
         "id", "client_id", "user_id", "event_name",
         F.try_parse_json("properties").alias("properties"),
-        iso_text(F.col("event_time")).alias("event_time"),
-        iso_text(F.col("received_at")).alias("received_at"),
+        as_text(F.col("event_time")).alias("event_time"),
+        as_text(F.col("received_at")).alias("received_at"),
     )
 
 
-def fanout_events(df: DataFrame, delivered: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def fanout_events(df: DataFrame, delivered: bool = False, keep: tuple[str, ...] = (), even: bool = False) -> DataFrame:
     """One message per event on its tenant's ``events`` channel, with the ``keep`` columns beside it.
 
     The published form is ``{client_id, event}``; the ``delivered`` form is what a connection
-    receives: ``{type, data, timestamp}``.
+    receives: ``{type, data, timestamp}``. Times have microseconds only when there are any; ``even`` ones
+    always have six digits.
     """
-    published = F.struct("client_id", _event_body().alias("event"))
-    outgoing = F.struct(
-        F.lit("event").alias("type"), _event_body().alias("data"), iso_text(F.col("received_at")).alias("timestamp")
-    )
+    as_text = iso_micros if even else iso_text
+    body = _event_body(as_text)
+    published = F.struct("client_id", body.alias("event"))
+    outgoing = F.struct(F.lit("event").alias("type"), body.alias("data"), as_text(F.col("received_at")).alias("timestamp"))
     return df.select(*_message("events", outgoing if delivered else published), *keep)
 
 

@@ -195,14 +195,14 @@ EVENT_JSON = f"""'{{"id":"' || id || '","client_id":"' || client_id || '","user_
 @query("fanout_events", f"""
 SELECT client_id, 'events' AS channel, '{{"client_id":"' || client_id || '","event":' || {EVENT_JSON} || '}}' AS message FROM ev""")
 def fanout_events(spark, sf):
-    return fanout.fanout_events(adapter.events(spark, sf))
+    return fanout.fanout_events(adapter.events(spark, sf), even=True)
 
 
 @query("fanout_delivered", f"""
 SELECT client_id, 'events' AS channel, '{{"type":"event","data":' || {EVENT_JSON} || ',"timestamp":"' || {ISO.format('received_at')}
        || '"}}' AS message FROM ev""")
 def fanout_delivered(spark, sf):
-    return fanout.fanout_events(adapter.events(spark, sf), delivered=True)
+    return fanout.fanout_events(adapter.events(spark, sf), delivered=True, even=True)
 
 
 @query("fanout_metrics", """
