@@ -6,8 +6,8 @@ to a language is the sum, over the document's n-grams, of how far each is out of
 profile; an n-gram that the profile lacks counts as far as the profile is long. The nearest
 language wins.
 
-Profiles are counted from at most about ``fit_rows`` training documents of each language, chosen by a
-hash of the id; documents are always read whole. Counting n-grams combines inside each task first.
+Profiles are counted from all training documents, and documents are always read whole. Counting n-grams combines inside each
+task first, in parts of bounded size.
 
 Defined cases: a null text, or one without a letter, gives ``und`` and score 0; so does every text if
 there is nothing to learn from. Rows without a language or without letters teach nothing. Equal counts are ordered by
@@ -29,9 +29,10 @@ from tallygrid.llm.common import by_batch
 
 UNKNOWN = "und"
 PROFILE_SIZE = 400
-FIT_ROWS = 20_000
 #: long texts are counted in pieces of so many characters, so that memory does not follow their length
 PIECE = 200_000
+#: n-grams with counts that a task holds before it adds them up
+HELD_COUNTS = 2_000_000
 
 _BITS = 21  # a code point
 
@@ -114,28 +115,28 @@ def make_profiles(ranked: dict[str, list[int]], size: int) -> Profiles:
     return Profiles(languages, codes, ranks, size)
 
 
-def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        size: int = PROFILE_SIZE, fit_rows: int = FIT_ROWS) -> Profiles:
+def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE) -> Profiles:
     """Profiles learned from the rows where ``training`` holds."""
     labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows_of = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not rows_of:
-        return make_profiles({}, size)
-    share = F.create_map(*[F.lit(x) for lang, n in rows_of.items() for x in (lang, min(1.0, fit_rows / n))])
-    drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000
-    sample = labelled.where(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+    def added(parts):
+        codes, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return codes, np.bincount(place, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
 
     def partial(batches):
         for batch in batches:
-            found = defaultdict(list)
+            found, held = defaultdict(list), 0
             for lang, text in zip(*batch.to_pydict().values()):
                 found[lang].append(ngram_counts(text))
+                held += len(found[lang][-1][0])
+                if held >= HELD_COUNTS:
+                    found, held = defaultdict(list, {lang: [added(parts)] for lang, parts in found.items()}), 0
             for lang, parts in found.items():
-                codes, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                counts = np.bincount(place, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
+                codes, counts = added(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
-    totals = sample.mapInArrow(partial, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    totals = rows.mapInArrow(partial, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     ranked = defaultdict(list)
     for row in totals.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect():
@@ -175,16 +176,11 @@ def prediction(profiles: Profiles, spark) -> Callable[[Column], Column]:
 LOW_SHARE, SLACK = 0.001, 0.85
 
 
-def least_score(docs: DataFrame, profiles: Profiles, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 5_000) -> float:
+def least_score(docs: DataFrame, profiles: Profiles, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
     """The score below which a text is in none of the learned languages: ``SLACK`` times what all but ``LOW_SHARE`` of the labelled
-    texts reach, of at most about ``fit_rows`` drawn for each language. Without such texts, 0."""
+    texts reach. Without such texts, 0."""
     labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows_of = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
-    if not rows_of:
-        return 0.0
-    share = F.create_map(*[F.lit(x) for lang, n in rows_of.items() for x in (lang, min(1.0, fit_rows / n))])
-    drawn = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
-    scored = predict(drawn, profiles, id_col, text_col).where(F.col("lang_pred") != UNKNOWN)
+    scored = predict(labelled, profiles, id_col, text_col).where(F.col("lang_pred") != UNKNOWN)
     mark = scored.agg(F.percentile_approx("score", LOW_SHARE, 10_000).alias("mark")).first()["mark"]
     return SLACK * (mark or 0.0)
 
