@@ -111,7 +111,8 @@ def explode_batches(batches: DataFrame, policy: str = REJECT_BATCH, time_field:
         )
         item = F.when(F.col("event").isNotNull(), _extracted(F.col("event"), time_field))
         rows = rows.withColumn("item", item).withColumn("item", _timed(F.col("item")))
-        rows = rows.withColumn("item", F.when(F.col("item").isNotNull(), _judged(F.col("item"))))
+        # as a list of one, so that a later filter on the faults does not judge the event anew for each use of it
+        rows = rows.withColumn("item", F.explode(F.array(F.when(F.col("item").isNotNull(), _judged(F.col("item"))))))
     else:
         # an envelope has at most 1000 events here, so it is judged as one row
         items = F.transform(F.when(whole, F.col("events")), lambda e: _extracted(e, time_field))
