@@ -52,6 +52,8 @@ CHUNK_WORDS = 1_000_000
 HASH_BITS = 40
 #: groups whose counts a task holds before it hands them on
 HELD_GROUPS = 500_000
+#: tasks a core that count phrases by name: each hands on a row a frequent phrase, so their number must not follow the text
+COUNT_TASKS = 2
 #: bits of the semi-join's bitmap, whatever the number of phrases
 FILTER_BITS = 1 << 26
 _BITMAP = 32_768  # positions in one value of bitmap_construct_agg
@@ -245,8 +247,11 @@ def keep_frequent(relation: DataFrame, length: int, bitmap: Broadcast, bits: int
     return relation.mapInArrow(run, RELATION)
 
 
-def count_phrases(relation: DataFrame, length: int, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """``lang``, ``phrase`` and ``f`` of the frequent phrases of ``length`` words, from their relation."""
+def task_counts(relation: DataFrame, length: int, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """``lang``, ``phrase`` and ``n``, each task's count of the phrases of ``length`` words in its part of their relation.
+
+    A frequent phrase stands in about every file, so a task a file would make rows by phrases times files, and both grow with the text.
+    ``COUNT_TASKS`` tasks a core read all files between them, a chunk at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for chunk in chunks(batches, chunk_words):
@@ -257,7 +262,13 @@ def count_phrases(relation: DataFrame, length: int, min_count: int = MIN_COUNT,
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return added(run(batches), ["lang", "phrase"])
 
-    counted = relation.mapInArrow(summed, "lang string, phrase string, n long")
+    few = relation.coalesce(COUNT_TASKS * relation.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(summed, "lang string, phrase string, n long")
+
+
+def count_phrases(relation: DataFrame, length: int, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """``lang``, ``phrase`` and ``f`` of the frequent phrases of ``length`` words, from their relation."""
+    counted = task_counts(relation, length, chunk_words)
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
 
 

@@ -80,6 +80,16 @@ def test_phrases_of_a_long_text_and_of_none(llm_spark, documents):
     assert phrase_mining.best_phrases(phrase_mining.mine(empty)).collect() == []
 
 
+def test_phrase_counts_do_not_follow_the_files(llm_spark, documents):
+    """A relation in many parts, a frequent phrase in each: the rows handed on are bounded by the cores, and the counts are whole."""
+    parts = 16 * llm_spark.sparkContext.defaultParallelism
+    relation = phrase_mining.occurrences(as_docs(documents, [("a b. c", "en")] * (4 * parts))).repartition(parts)
+    made = phrase_mining.task_counts(relation, 2)
+    assert {(r["lang"], r["phrase"]) for r in made.collect()} == {("en", "a b")}
+    assert made.count() <= phrase_mining.COUNT_TASKS * llm_spark.sparkContext.defaultParallelism
+    assert [tuple(r) for r in phrase_mining.count_phrases(relation, 2).collect()] == [("en", "a b", 4 * parts)]
+
+
 def test_phrase_scores_beyond_64_bits(llm_spark):
     levels = llm_spark.createDataFrame([("en", "a b", 3 * 10**12)], "lang string, phrase string, f long")
     parts = llm_spark.createDataFrame([("en", "a", 4 * 10**12), ("en", "b", 5 * 10**12 + 1)], levels.schema)
