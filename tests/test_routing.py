@@ -41,3 +41,38 @@ def test_route_as_of_is_spread_and_whole(spark):
     assert _tasks(spark, routed) > 1
     assert sorted((r["connection_id"], int(r["event_id"])) for r in routed.collect()) == sorted((f"c{c}", i) for c in range(3) for i in range(10 * c, 40))
     assert routed.columns == ["connection_id", "client_id", "channel", "event_id", "sent_at"]
+
+
+def _shares(df):
+    """Rows of ``df`` made by each task, under the session's own settings."""
+    return sorted(row["count"] for row in df.groupBy(F.spark_partition_id().alias("task")).count().collect())
+
+
+def _many(spark, tenants):
+    return spark.range(4000).select(
+        F.concat(F.lit("t"), (F.col("id") % tenants).cast("string")).alias("client_id"), F.lit("events").alias("channel"),
+        F.col("id").cast("string").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).alias("sent_at"),
+    )
+
+
+def test_products_are_shared_by_all_tasks(spark):
+    """What is read is small, so Spark puts a join of its own into a task or two, however many rows it makes."""
+    periods = spark.range(100).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("connection_id"), F.lit("t0").alias("client_id"), F.lit("events").alias("channel"),
+        F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_until"),
+    )
+    routed = fanout.route_messages(_many(spark, 1), periods.drop("valid_from", "valid_until"))
+    for made in (routed, temporal.route_as_of(_many(spark, 1), periods)):
+        shares = _shares(made)
+        assert sum(shares) == 400_000
+        assert len(shares) > 16 and shares[-1] < 40_000
+
+
+def test_product_keeps_nulls_and_repeats_beside_the_keys(spark):
+    messages = spark.createDataFrame([("a", None, 1), ("a", None, 1), (None, "x", 2), ("b", "y", 3)], "k string, note string, n int")
+    others = spark.createDataFrame([("a", None), ("a", None), ("a", "p"), (None, "q")], "k string, name string")
+    made = fanout.product_join(messages, others, ["k"])
+    assert made.columns == ["k", "note", "n", "name"]
+    assert sorted(tuple(r) for r in made.collect() if r["name"]) == [("a", None, 1, "p")] * 2
+    assert [tuple(r) for r in made.filter("name IS NULL").collect()] == [("a", None, 1, None)] * 4
+    assert fanout.product_join(messages.limit(0), others, ["k"]).count() == fanout.product_join(messages, others.limit(0), ["k"]).count() == 0
